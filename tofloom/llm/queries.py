@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import mixing, quality, url_filters
+from . import media, mixing, pieces, quality, url_filters
 from .common import read
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -17,6 +18,10 @@ RULES = [
 ]
 
 
+def op2_sentencepiece(spark, sf_dir):
+    return pieces.digest(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_url_filters(spark, sf_dir):
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_filters.filter_urls(pages, url_filters.rules_frame(spark, RULES))
@@ -32,8 +37,12 @@ def op5_mixing(spark, sf_dir):
     )
 
 
+def op6_media(spark, sf_dir):
+    return media.media_digest(read(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark, sf_dir):
     return quality.judge(read(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "__quality.*")
 
 
-QUERIES = {f.__name__: f for f in (op4_url_filters, op5_mixing, op9_quality)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op4_url_filters, op5_mixing, op6_media, op9_quality)}
