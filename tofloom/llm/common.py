@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space: what separates words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -70,3 +71,11 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def widen(schema: StructType, fields: dict[str, str]) -> StructType:
+    """A copy of the schema with more fields (``StructType.add`` changes the frame's own)."""
+    out = StructType(list(schema.fields))
+    for name, kind in fields.items():
+        out = out.add(name, kind)
+    return out

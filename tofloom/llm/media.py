@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import widen
+
 BLOCK = 64
 RATE = 8000
 OUT_RATE = 16000
@@ -168,7 +170,7 @@ def choose_codec(payload: bytes, codec: str | None) -> str:
 def encode_media(rows: DataFrame, payload: str, codec: str | None = None) -> DataFrame:
     """Adds ``media`` (the WAV container) and ``n_bytes`` to rows with a binary ``payload``, which goes."""
     carry = [c for c in rows.columns if c != payload]
-    schema = rows.drop(payload).schema.add("n_bytes", "long").add("media", "binary")
+    schema = widen(rows.select(*carry).schema, {"n_bytes": "long", "media": "binary"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +188,7 @@ def encode_media(rows: DataFrame, payload: str, codec: str | None = None) -> Dat
     return rows.mapInArrow(run, schema)
 
 
-DECODED = "codec string, payload binary, pcm binary, feature string"
+DECODED = {"codec": "string", "payload": "binary", "pcm": "binary", "feature": "string"}
 
 
 def decode_media(rows: DataFrame, media: str = "media", keep_pcm: bool = True) -> DataFrame:
@@ -194,9 +196,7 @@ def decode_media(rows: DataFrame, media: str = "media", keep_pcm: bool = True) -
 
     ADPCM blocks of up to ``BATCH_BYTES`` of one Arrow batch are decoded together.
     """
-    schema = rows.schema
-    for part in DECODED.split(", "):
-        schema = schema.add(*part.split(" "))
+    schema = widen(rows.schema, DECODED)
 
     def decode(parts: list[tuple[str, memoryview]]) -> list[np.ndarray]:
         out: list = [None] * len(parts)

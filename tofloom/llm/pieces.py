@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
+from .common import widen
+
 MARK = "▁"
 #: Chunks that one worker remembers; it starts afresh when they are full.
 CACHE = 300_000
@@ -247,9 +249,7 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", offsets: b
     """
     names = [("ids", "binary"), *([("starts", "binary"), ("ends", "binary")] if offsets else [])]
     base = docs.drop(*(n for n, _ in names))
-    schema = base.schema
-    for name, kind in names:
-        schema = schema.add(name, kind)
+    schema = widen(base.schema, dict(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
@@ -275,8 +275,8 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", offsets: b
 
 def decode_documents(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     """All columns and ``decoded``: the text of the ids, as the library decodes them."""
-    schema = rows.drop("decoded").schema.add("decoded", "string")
     base = rows.drop("decoded")
+    schema = widen(base.schema, {"decoded": "string"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
