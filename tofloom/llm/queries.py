@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import media, mixing, pieces, quality, url_filters
+from . import media, mixing, pieces, quality, simhash, url_filters
 from .common import read
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -22,6 +22,10 @@ def op2_sentencepiece(spark, sf_dir):
     return pieces.digest(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_simhash(spark, sf_dir):
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"), size=4, budget=4)
+
+
 def op4_url_filters(spark, sf_dir):
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_filters.filter_urls(pages, url_filters.rules_frame(spark, RULES))
@@ -45,4 +49,4 @@ def op9_quality(spark, sf_dir):
     return quality.judge(read(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "__quality.*")
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op4_url_filters, op5_mixing, op6_media, op9_quality)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_simhash, op4_url_filters, op5_mixing, op6_media, op9_quality)}
