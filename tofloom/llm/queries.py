@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import media, mixing, pieces, quality, simhash, url_filters
+from . import media, mixing, pieces, quality, simhash, tokenfile, url_filters
 from .common import read
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -49,4 +49,9 @@ def op9_quality(spark, sf_dir):
     return quality.judge(read(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "__quality.*")
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_simhash, op4_url_filters, op5_mixing, op6_media, op9_quality)}
+def op10_token_files(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return tokenfile.digest(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_simhash, op4_url_filters, op5_mixing, op6_media, op9_quality, op10_token_files)}
