@@ -58,4 +58,41 @@ SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
 FROM t
 """
 
-ORACLE_SQL = {"op4_url_filters": OP4, "op5_mixing": OP5}
+OP9 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text, {_WORDS} AS words FROM documents),
+p AS (
+  SELECT rid, pos, words[pos] AS a, words[pos + 1] AS b, words[pos + 2] AS c
+  FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS pos FROM d WHERE len(words) >= 3)),
+t AS (SELECT rid, pos, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM p),
+w AS (SELECT DISTINCT rid, unnest([pos, pos + 1, pos + 2]) AS pos FROM t WHERE n > 1),
+rep AS (SELECT rid, count(*) AS n FROM w GROUP BY rid),
+l AS (
+  SELECT rid, count(*) AS n, count(DISTINCT line) AS k
+  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+m AS (
+  SELECT doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(l.n - l.k, 0) AS BIGINT) AS n_dup_lines, coalesce(l.n, 0) AS n_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN l USING (rid) LEFT JOIN rep USING (rid)),
+r AS (
+  SELECT *, coalesce(n_symbols::DOUBLE / nullif(word_chars, 0)::DOUBLE, 0) AS sr, coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0)::DOUBLE, 0) AS dr,
+    coalesce(n_repeat_words::DOUBLE / nullif(n_words, 0)::DOUBLE, 0) AS rr, coalesce(word_chars::DOUBLE / nullif(n_words, 0)::DOUBLE, 0) AS ml
+  FROM m),
+q AS (
+  SELECT lang, source, quantile_disc(sr, [0.25, 0.75]) AS qs, quantile_disc(dr, [0.25, 0.75]) AS qd,
+    quantile_disc(rr, [0.25, 0.75]) AS qr, quantile_disc(ml, [0.25, 0.75]) AS qm
+  FROM r GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+    AND sr <= qs[2] + greatest(3 * (qs[2] - qs[1]), 0.05::DOUBLE) AND dr <= qd[2] + greatest(3 * (qd[2] - qd[1]), 0.5::DOUBLE)
+    AND rr <= qr[2] + greatest(3 * (qr[2] - qr[1]), 0.3::DOUBLE) AND ml <= qm[2] + greatest(3 * (qm[2] - qm[1]), 4.0::DOUBLE)
+    AND ml >= qm[1] - greatest(3 * (qm[2] - qm[1]), 4.0::DOUBLE) AS kept
+FROM r JOIN q ON r.lang IS NOT DISTINCT FROM q.lang AND r.source IS NOT DISTINCT FROM q.source
+"""
+
+ORACLE_SQL = {"op9_quality": OP9, "op4_url_filters": OP4, "op5_mixing": OP5}

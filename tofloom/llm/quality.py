@@ -28,8 +28,8 @@ FENCE = 3.0
 ACCURACY = 2000
 #: measure -> (side of the fence, nearest that the fence may come)
 MEASURES = {
-    "symbol_ratio": ("high", 0.10),
-    "dup_line_ratio": ("high", 0.30),
+    "symbol_ratio": ("high", 0.05),
+    "dup_line_ratio": ("high", 0.50),
     "repeat_ratio": ("high", 0.30),
     "mean_word_chars": ("both", 4.0),
 }
