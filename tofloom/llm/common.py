@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -79,3 +80,9 @@ def widen(schema: StructType, fields: dict[str, str]) -> StructType:
     for name, kind in fields.items():
         out = out.add(name, kind)
     return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -2,6 +2,29 @@
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+OP1 = r"""
+WITH l AS (
+  SELECT doc_id, u.k - 1 AS number, list_distinct(regexp_extract_all(u.line, '[^\x20\x09-\x0D]+')) AS words
+  FROM (SELECT doc_id, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: {'k': i, 'line': x})) AS u FROM documents)),
+w AS (SELECT doc_id, number, unnest(words) AS w FROM l),
+f AS (SELECT w, count(*) AS f FROM w GROUP BY w),
+s AS (SELECT doc_id, number, list(w ORDER BY f, w) AS words FROM w JOIN f USING (w) GROUP BY doc_id, number),
+d AS (
+  SELECT words, len(words) AS n, min({'doc': doc_id, 'number': number}) AS head FROM s GROUP BY words),
+e AS (SELECT head, n, words, unnest(words[1:n - ((4 * n + 4) // 5) + 1]) AS w FROM d),
+near AS (
+  SELECT DISTINCT b.head AS head
+  FROM e a JOIN e b ON a.w = b.w AND a.head < b.head AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+  WHERE 9 * len(list_intersect(a.words, b.words)) >= 4 * (a.n + b.n)),
+g AS (
+  SELECT s.doc_id, s.number,
+    d.head <> {'doc': s.doc_id, 'number': s.number} OR d.head IN (SELECT head FROM near) AS gone
+  FROM s JOIN d ON s.words = d.words)
+SELECT l.doc_id, count(g.gone) AS n_lines, count(*) FILTER (WHERE g.gone) AS n_removed,
+  coalesce(string_agg(CASE WHEN g.gone THEN CAST(l.number AS VARCHAR) END, ',' ORDER BY l.number), '') AS removed_lines
+FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.number = g.number GROUP BY l.doc_id
+"""
+
 OP4 = r"""
 WITH rules(r_host, r_path, r_verdict) AS (
   VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
@@ -95,4 +118,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM r JOIN q ON r.lang IS NOT DISTINCT FROM q.lang AND r.source IS NOT DISTINCT FROM q.source
 """
 
-ORACLE_SQL = {"op9_quality": OP9, "op4_url_filters": OP4, "op5_mixing": OP5}
+ORACLE_SQL = {"op1_line_dedup": OP1, "op9_quality": OP9, "op4_url_filters": OP4, "op5_mixing": OP5}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import media, mixing, pieces, quality, simhash, tokenfile, url_filters
+from . import lines, media, mixing, pieces, quality, simhash, tokenfile, url_filters
 from .common import read
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -18,6 +18,10 @@ RULES = [
 ]
 
 
+def op1_line_dedup(spark, sf_dir):
+    return lines.line_report(read(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark, sf_dir):
     return pieces.digest(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -54,4 +58,4 @@ def op10_token_files(spark, sf_dir):
     return tokenfile.digest(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_simhash, op4_url_filters, op5_mixing, op6_media, op9_quality, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sentencepiece, op3_simhash, op4_url_filters, op5_mixing, op6_media, op9_quality, op10_token_files)}
