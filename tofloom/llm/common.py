@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 #: ASCII white space: what separates words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -78,7 +78,7 @@ def widen(schema: StructType, fields: dict[str, str]) -> StructType:
     """A copy of the schema with more fields (``StructType.add`` changes the frame's own)."""
     out = StructType(list(schema.fields))
     for name, kind in fields.items():
-        out = out.add(name, kind)
+        out = out.add(name, DataType.fromDDL(kind))
     return out
 
 
