@@ -35,10 +35,12 @@ from pyspark.sql.types import StructType
 
 from .common import materialize, text_of, widen
 
-TOXIC, CLEAN = 2500, 5000
-TELLING, COMMON = 2048, 512
+TOXIC, CLEAN = 2000, 3000
+TELLING, COMMON = 2048, 96
 NEIGHBOURS = 12
 BLOCK = 64
+#: Blocks that are visited before any pruning.
+FIRST = 6
 CACHE = 200_000
 _STRIP = ".,;:!?\"'()[]{}|*$%&#<>-_/\\"
 
@@ -78,31 +80,47 @@ class Index:
         np.maximum.at(self.top, cell, self.weights)
         self.top = self.top.reshape(features, self.blocks)
 
-    def _block_scores(self, feature: np.ndarray, weight: np.ndarray, block: int) -> np.ndarray:
-        cell = feature * self.blocks + block
-        lo, hi = self.start[cell], self.start[cell + 1]
-        size = hi - lo
+    def _scores(self, feature: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the examples in some blocks that share a feature."""
+        cell = feature[:, None] * self.blocks + blocks[None, :]
+        lo = self.start[cell].ravel()
+        size = self.start[cell + 1].ravel() - lo
         total = int(size.sum())
         at = np.arange(total) + np.repeat(lo - np.cumsum(size) + size, size)
-        rows = self.rows[at] - block * BLOCK
-        return np.bincount(rows, self.weights[at] * np.repeat(weight, size), BLOCK)
+        each = np.repeat(np.repeat(weight, len(blocks)), size)
+        scores = np.bincount(self.rows[at], self.weights[at] * each, len(self.labels))
+        places = np.flatnonzero(scores > 0)
+        return places, scores[places]
 
     def nearest(self, feature: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` examples (places in ``order``) of largest cosine, exactly; ties go to the first place."""
+        """The ``k`` examples (places in ``order``) of largest cosine, exactly; ties go to the first place.
+
+        The blocks with the highest bounds come first; then, at one go, those
+        whose bound reaches what the neighbours found so far leave open.
+        """
         bound = weight @ self.top[feature]
-        best_at, best = np.empty(0, int), np.empty(0)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or len(best) == k and bound[block] < best[-1]:
+        order = np.argsort(-bound, kind="stable")
+        places, near = np.empty(0, int), np.empty(0)
+        for part in (slice(0, FIRST), slice(FIRST, None)):
+            blocks = order[part]
+            blocks = blocks[bound[blocks] > 0]
+            if len(near) == k:
+                blocks = blocks[bound[blocks] >= near[-1]]
+            if not len(blocks):
                 break
-            scores = self._block_scores(feature, weight, int(block))
-            at = np.flatnonzero(scores > 0)
-            place = at + block * BLOCK
+            at, scores = self._scores(feature, weight, blocks)
             if skip >= 0:
-                at, place = at[place != skip], place[place != skip]
-            best_at, best = np.concatenate([best_at, place]), np.concatenate([best, scores[at]])
-            top = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[top], best[top]
-        return best_at, best
+                at, scores = at[at != skip], scores[at != skip]
+            places, near = np.concatenate([places, at]), np.concatenate([near, scores])
+            top = np.lexsort((places, -near))[:k] if len(near) <= 4 * k else self._top(places, near, k)
+            places, near = places[top], near[top]
+        return places, near
+
+    @staticmethod
+    def _top(places: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
+        least = np.partition(near, -k)[-k]
+        some = np.flatnonzero(near >= least)
+        return some[np.lexsort((places[some], -near[some]))[:k]]
 
 
 class Model:
