@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import lines, media, mixing, pieces, quality, simhash, tokenfile, toxicity, url_filters
+from . import lines, media, mixing, pieces, quality, simhash, substrings, tokenfile, toxicity, url_filters
 from .common import read
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -53,6 +53,10 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_substrings(spark, sf_dir):
+    return substrings.remove_repeats(read(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
+
+
 def op9_quality(spark, sf_dir):
     return quality.judge(read(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "__quality.*")
 
@@ -62,4 +66,4 @@ def op10_token_files(spark, sf_dir):
     return tokenfile.digest(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sentencepiece, op3_simhash, op4_url_filters, op5_mixing, op6_media, op7_toxicity, op9_quality, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sentencepiece, op3_simhash, op4_url_filters, op5_mixing, op6_media, op7_toxicity, op8_substrings, op9_quality, op10_token_files)}
