@@ -46,16 +46,21 @@ SCALE = 20
 LANES = 512
 BLOCK_TOKENS = 1 << 18
 SHARD_TOKENS = 1 << 22
-#: Words, and pieces of words, that one worker remembers.
-CACHE = 250_000
+#: Words, and pieces of words, that one worker remembers; it starts afresh when they are full.
+CACHE, PIECES = 300_000, 500_000
 LOW = np.uint64(1 << 31)
 MAGIC = b"TRNS"
+#: Files whose positions (24 bytes each) may be broadcast.
+BROADCAST_FILES = 200_000
 
 # -- tokenising ---------------------------------------------------------------
 
 #: Characters for which Python's lower case and the pattern below agree with the library's.
 _PLAIN = regex.compile(r"[\x00-\x7e\xa1-\xb4\xb6-įĲ-ňŊ-ž]*")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_PARTS = regex.compile(_PIECES.pattern + "| ")
+#: Stands between the ids of words; no run of ids holds these bytes (16-bit ids are below 0xFE00, 32-bit ones have a zero byte).
+_GAP = b"\xff\x00\xfe\xff\x00\xff\xff\xfe"
 
 
 class WordCoder:
@@ -86,30 +91,58 @@ class WordCoder:
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].split() != [t["content"]] for t in added)
         )
         self.special = [t["content"] for t in added]
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.kind = "<u2" if max(vocabulary.values()) < 0xFE00 else "<u4"
+        suffix = spec.get("model", {}).get("end_of_word_suffix")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        """Pieces are coded many at a time; each ends with its only id that has the end-of-word mark."""
+        for at in range(0, len(pieces), 2048):
+            part = pieces[at : at + 2048]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part) or stops[-1] != len(ids):
+                self.pieces.update(zip(part, self._library(part)))
+                continue
+            raw, size, start = ids.tobytes(), ids.itemsize, 0
+            for piece, stop in zip(part, (stops * size).tolist()):
+                self.pieces[piece] = raw[start:stop]
+                start = stop
 
     def _learn(self, words: list[str]) -> None:
-        plain, other = {}, []
-        for word in words:
-            if _PLAIN.fullmatch(word) and not any(s in word for s in self.special):
-                plain[word] = _PIECES.findall(word.lower())
-            else:
-                other.append(word)
-        new = list({p for ps in plain.values() for p in ps if p not in self.pieces})
-        if len(self.pieces) + len(new) > CACHE:
-            self.pieces.clear()
-            new = list({p for ps in plain.values() for p in ps})
-        self.pieces.update(zip(new, self._library(new)))
-        get = self.pieces.__getitem__
-        self.words.update((word, b"".join(map(get, ps))) for word, ps in plain.items())
-        self.words.update(zip(other, self._library(other)))
+        other: list[str] = []
+        line = " ".join(words)
+        if not _PLAIN.fullmatch(line) or any(special in line for special in self.special):
+            plain = [bool(_PLAIN.fullmatch(w)) and not any(special in w for special in self.special) for w in words]
+            other = [w for w, p in zip(words, plain) if not p]
+            words = [w for w, p in zip(words, plain) if p]
+            line = " ".join(words)
+        self.words.update(zip(other, self._library(other) if other else ()))
+        if not words:
+            return
+        parts = _PARTS.findall(line.lower())
+        known = self.pieces
+        new = {p for p in parts if p not in known}
+        new.discard(" ")
+        if len(known) + len(new) > PIECES:
+            known.clear()
+            new = set(parts)
+            new.discard(" ")
+        self._learn_pieces(list(new))
+        known[" "] = _GAP
+        coded = b"".join(map(known.__getitem__, parts)).split(_GAP)
+        self.words.update(zip(words, coded, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
+        """Ids of each text as little-endian integers of type ``kind``."""
         if not self.by_word:
             return self._library(texts)
         split = [_ascii_words(t) for t in texts]
@@ -130,7 +163,10 @@ _SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 
 
 def _ascii_words(text: str) -> list[str]:
-    return [w for w in text.translate(_SPACES).split(" ") if w]
+    """Words between white space; Python also splits at four control characters, which aren't white space here."""
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return [w for w in text.translate(_SPACES).split(" ") if w]
+    return text.split()
 
 
 @lru_cache(maxsize=2)
@@ -139,19 +175,19 @@ def coder(path: str) -> WordCoder:
 
 
 def add_ids(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text") -> DataFrame:
-    """All columns but the text, ``__ids`` (end id included, 32 bit little-endian) and ``__n``."""
+    """All columns but the text, ``__ids`` (end id included, little-endian, 16 bit where the vocabulary fits) and ``__n``."""
     carry = [c for c in docs.columns if c != text]
     schema = widen(StructType([docs.schema[c] for c in carry]), {"__ids": "binary", "__n": "long"})
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(tokenizer)
+        end, size = np.array([end_id]).astype(own.kind).tobytes(), np.dtype(own.kind).itemsize
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = [i + end for i in own.encode([t or "" for t in part.column(text).to_pylist()])]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in carry), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())],
+                    [*(part.column(c) for c in carry), pa.array(ids, pa.binary()), pa.array([len(i) // size for i in ids], pa.int64())],
                     names=schema.fieldNames(),
                 )
 
@@ -280,13 +316,14 @@ def write_token_files(
     """
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("__text"))
     coded = materialize(add_ids(slim, tokenizer, end_id, "__text"))
+    kind = coder(tokenizer).kind
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 raw = b"".join(batch.column("__ids").slice(at, 1024).to_pylist())
-                part = np.bincount(np.frombuffer(raw, "<u4"), minlength=len(seen))
+                part = np.bincount(np.frombuffer(raw, kind), minlength=len(seen))
                 part[: len(seen)] += seen
                 seen = part
         ids = np.flatnonzero(seen)
@@ -302,7 +339,7 @@ def write_token_files(
         doc_ids, sizes, parts, held = [], [], [], 0
 
         def file() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), "<u4")
+            ids = np.frombuffer(b"".join(parts), kind).astype("<u4")
             data = pack_shard(doc_ids, sizes, ids, table())
             columns = [pa.array([shard], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64())]
             return pa.RecordBatch.from_arrays([*columns, pa.array([data], pa.binary())], names=["shard", "seq", "tokens", "file"])
@@ -372,6 +409,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     inside = Window.partitionBy("shard").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     firsts = files.select("shard", "seq", F.coalesce(F.sum("tokens").over(inside), F.lit(0)).alias("skip")).join(shards, "shard")
     firsts = firsts.select("shard", "seq", (F.col("base") + F.col("skip")).alias("first"))
+    if firsts.count() <= BROADCAST_FILES:  # files stay where they are; more firsts than that are joined by shuffle
+        firsts = F.broadcast(firsts)
     placed = files.join(firsts, ["shard", "seq"]).select("first", "file")
     return placed.mapInArrow(decode, schema)
 
