@@ -300,15 +300,34 @@ def dbscan(
 ) -> DataFrame:
     """Hits with ``label``: -1 for noise, else numbered by island and first member, per key."""
     rows = time_islands(hits, eps_time, min_points_time, keys)
-    base = [f for f in hits.schema.fields]
-    schema = StructType([*base, rows.schema["island"]]).add("local", IntegerType())
+    schema = StructType([*hits.schema.fields, rows.schema["island"]]).add("local", IntegerType())
+    members = rows.where("island IS NOT NULL").select(*hits.columns, "island")
+    by = [*keys, "island"]
+    members = members.repartition(*by).sortWithinPartitions(*by, *order)
 
-    def run(pdf):
-        pdf = pdf.sort_values(list(order), kind="stable")
-        pdf["local"] = dbscan_xy(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), eps_xy, min_points_xy)
-        return pdf[schema.fieldNames()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+
+        def label(table: pa.Table, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+            x, y = table["x"].to_numpy().astype(float), table["y"].to_numpy().astype(float)
+            cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            found = np.concatenate([dbscan_xy(x[a:b], y[a:b], eps_xy, min_points_xy) for a, b in zip(cuts, cuts[1:])])
+            yield from table.append_column("local", pa.array(found, pa.int32())).combine_chunks().to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*rest, batch]).combine_chunks()
+            key = _runs([table[k].combine_chunks() for k in by])
+            cut = int(np.searchsorted(key, key[-1]))  # the last island may go on
+            rest = table.slice(cut).combine_chunks().to_batches()
+            if cut:
+                yield from label(table.slice(0, cut), key[:cut])
+        if rest:
+            table = pa.Table.from_batches(rest)
+            yield from label(table, _runs([table[k].combine_chunks() for k in by]))
 
-    found = rows.where("island IS NOT NULL").groupBy(*keys, "island").applyInPandas(run, schema)
+    found = members.mapInArrow(run, schema)
     upto = Window.partitionBy(*keys).orderBy("island").rowsBetween(Window.unboundedPreceding, -1)
     sizes = found.groupBy(*keys, "island").agg((F.max("local") + 1).alias("__n"))
     sizes = sizes.withColumn("__base", F.coalesce(F.sum("__n").over(upto), F.lit(0))).drop("__n")
