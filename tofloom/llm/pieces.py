@@ -188,7 +188,13 @@ class PieceCodec:
         return _runs(chunks) if "" in chunks else chunks
 
     def _learn(self, chunks: list[str], own: dict[str, bytes]) -> None:
-        """Encode chunks in one call - they stay apart, as each starts with a mark - and cut the ids by length."""
+        """Encode chunks in one call - they stay apart, as each starts with a mark - and cut the ids by length.
+
+        Runs of spaces at a text's end have no word that would part them from the next chunk: they go by themselves.
+        """
+        for blank in [c for c in chunks if not c.strip(" ")]:
+            own[blank] = np.array(self.processor.encode(blank, num_threads=1), dtype="<u4").tobytes()
+        chunks = [c for c in chunks if c.strip(" ")]
         if not chunks:
             return
         ids = np.array(self.processor.encode(" ".join(chunks), num_threads=1), dtype="<u4")

@@ -257,8 +257,8 @@ def decode_block(data: bytes, count: int, table: Table) -> np.ndarray:
             at += n
         state[:m] = x
         out[row * lanes : row * lanes + m] = ids
-    if at != size:
-        raise ValueError("a block has words left over")
+    if at != size or (state != LOW).any():
+        raise ValueError("a block doesn't end where it began")
     return out
 
 
