@@ -43,11 +43,11 @@ from pyspark.sql.types import StructType
 from .common import discard, materialize, shared_dir, widen
 
 SCALE = 20
-LANES = 512
-BLOCK_TOKENS = 1 << 18
+LANES = 2048
+BLOCK_TOKENS = 1 << 19
 SHARD_TOKENS = 1 << 22
 #: Words, and pieces of words, that one worker remembers; it starts afresh when they are full.
-CACHE, PIECES = 300_000, 500_000
+CACHE, PIECES = 600_000, 900_000
 LOW = np.uint64(1 << 31)
 MAGIC = b"TRNS"
 #: Files whose positions (24 bytes each) may be broadcast.
