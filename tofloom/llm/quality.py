@@ -26,6 +26,8 @@ MAX_REPEAT_PERCENT = 50
 FENCE = 3.0
 #: Sketch size: quantiles are off by 1/ACCURACY of the rows at most.
 ACCURACY = 2000
+#: Groups (some hundred bytes each) whose thresholds may be broadcast.
+BROADCAST_GROUPS = 50_000
 #: measure -> (side of the fence, nearest that the fence may come)
 MEASURES = {
     "symbol_ratio": ("high", 0.05),
@@ -104,8 +106,8 @@ def judge(docs: DataFrame, carry: list[str], text: str = "text", lang: str = "la
 
     The texts are read once; counts are written to the shared folder beside the
     carried columns, then summarised and joined.  The threshold table has a row
-    per language and source; Spark broadcasts it only where it is small, else
-    its run-time skew handling splits the hot source.
+    per language and source; it is counted, and broadcast only up to
+    ``BROADCAST_GROUPS`` rows, beyond which run-time skew handling splits the hot source.
     """
     counted = docs.select(
         F.struct(*carry).alias("__row"),
@@ -126,6 +128,9 @@ def judge(docs: DataFrame, carry: list[str], text: str = "text", lang: str = "la
         if side == "both":
             limits.append((q25 - reach).alias(f"low_{name}"))
     limits = quartiles.select(F.col("__lang").alias("__l"), F.col("__source").alias("__s"), *limits)
+    limits = materialize(limits)
+    if limits.count() <= BROADCAST_GROUPS:  # else a shuffled join
+        limits = F.broadcast(limits)
     joined = counted.join(
         limits, F.col("__lang").eqNullSafe(F.col("__l")) & F.col("__source").eqNullSafe(F.col("__s")), "left"
     )
