@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -53,11 +54,16 @@ def features_of(word: str) -> tuple[str, ...]:
     return (word, *(f"{word[:n]}-" for n in (4, 5) if len(word) > n))
 
 
+def codes_of(word: str) -> tuple[int, ...]:
+    """Features as 63-bit hashes."""
+    return tuple(xxhash.xxh3_64_intdigest(f) >> 1 for f in features_of(word))
+
+
 def counts_of(text: str | None) -> Counter:
     found: Counter = Counter()
     for word, n in Counter((text or "").lower().split()).items():
-        for feature in features_of(word):
-            found[feature] += n
+        for code in codes_of(word):
+            found[code] += n
     return found
 
 
@@ -124,35 +130,36 @@ class Index:
 
 
 class Model:
-    def __init__(self, sample: list[tuple[dict, int]], prior: float):
-        """``sample``: feature counts and label of each example."""
-        self.prior = prior
-        toxic, clean = Counter(), Counter()
-        n = [0, 0]
-        for counts, label in sample:
-            (toxic if label else clean).update(counts.keys())
-            n[label] += 1
-        scale_t, scale_c = max(1, n[1]), max(1, n[0])
-        least = max(2, n[1] // 200)
-        gain = {
-            f: (a / scale_t - clean[f] / scale_c) ** 2 / ((a + clean[f] + 1) / (scale_t + scale_c))
-            for f, a in toxic.items()
-            if a >= least and (a + 0.5) / scale_t > 4 * (clean[f] + 0.5) / scale_c
-        }
-        telling = sorted(gain, key=lambda f: (-gain[f], f))[:TELLING]
-        common = [f for f, _ in sorted((toxic + clean).items(), key=lambda x: (-x[1], x[0])) if f not in gain][:COMMON]
-        self.names = [*telling, *common]
-        self.number = {f: i for i, f in enumerate(self.names)}
-        self.telling = len(telling)
-        self.labels = np.array([label for _, label in sample], dtype=np.int64)
-        self.raw = [self.pick(counts) for counts, _ in sample]
+    def __init__(self, codes: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray, prior: float):
+        """``codes``, ``counts``: features of each example, and how often it has them."""
+        self.prior, self.labels = prior, labels
+        parts = [[c for c, y in zip(codes, labels) if y == want] for want in (1, 0)]
+        sizes = [max(1, len(p)) for p in parts]
+        each = [np.unique(np.concatenate(p) if p else np.empty(0, np.int64), return_counts=True) for p in parts]
+        every = np.union1d(each[0][0], each[1][0])
+        toxic, clean = np.zeros(len(every)), np.zeros(len(every))
+        for target, (code, n) in zip((toxic, clean), each):
+            target[np.searchsorted(every, code)] = n
+        apart = (toxic >= max(2, len(parts[0]) // 200)) & ((toxic + 0.5) / sizes[0] > 4 * (clean + 0.5) / sizes[1])
+        gain = (toxic / sizes[0] - clean / sizes[1]) ** 2 / (toxic + clean + 1)
+        telling = np.flatnonzero(apart)
+        telling = telling[np.argsort(-gain[telling], kind="stable")][:TELLING]
+        common = np.flatnonzero(~apart)
+        common = common[np.argsort(-(toxic + clean)[common], kind="stable")][:COMMON]
+        chosen = every[np.concatenate([telling, common])]
+        self.features = len(chosen)
+        self.number = {int(code): k for k, code in enumerate(chosen)}
+        order = np.argsort(chosen)
+        self.raw = []
+        for code, n in zip(codes, counts):
+            at = np.searchsorted(chosen, code, sorter=order)
+            at = order[np.minimum(at, len(order) - 1)] if len(order) else at
+            known = chosen[at] == code if len(order) else np.zeros(len(code), bool)
+            k = np.argsort(at[known])
+            self.raw.append((at[known][k].astype(np.int64), n[known][k].astype(np.float64)))
         self.index: Index | None = None
         self.curve = (0.0, 0.0)
 
-    def pick(self, counts) -> tuple[np.ndarray, np.ndarray]:
-        found = sorted((self.number[f], n) for f, n in counts.items() if f in self.number)
-        return np.array([f for f, _ in found], dtype=np.int64), np.array([n for _, n in found], dtype=np.float64)
-
     def vector(self, feature: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         weight = (1 + np.log(count)) * self.idf[feature]
         size = math.sqrt(float(weight @ weight))
@@ -162,7 +169,7 @@ class Model:
         """With the document frequencies of all documents."""
         self.idf = np.log((1 + documents) / (1 + frequency)) + 0.01
         vectors = [self.vector(*r) for r in self.raw]
-        self.index = Index(vectors, self.labels, len(self.names))
+        self.index = Index(vectors, self.labels, self.features)
         votes = []
         for place, i in enumerate(self.index.order):
             feature, weight = vectors[i]
@@ -232,21 +239,23 @@ def learn(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("__id"), batch.column("__y"),
-                    pa.array([list(c.keys()) for c in found], pa.list_(pa.string())),
+                    pa.array([list(c.keys()) for c in found], pa.list_(pa.int64())),
                     pa.array([list(c.values()) for c in found], pa.list_(pa.int64())),
                 ],
                 names=["id", "y", "feature", "n"],
             )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    sample = rows.mapInArrow(count, f"id {kind}, y int, feature array<string>, n array<long>")
+    sample = rows.mapInArrow(count, f"id {kind}, y int, feature array<long>, n array<long>")
     sample = sample.orderBy("id").toArrow()
-    seen, pairs = set(), []
-    for i, y, f, n in zip(*(sample[c].to_pylist() for c in ("id", "y", "feature", "n"))):
-        if i not in seen:
+    seen, codes, counts, truth = set(), [], [], []
+    for k in range(sample.num_rows):
+        if (i := sample["id"][k].as_py()) not in seen:
             seen.add(i)
-            pairs.append((dict(zip(f, n)), y))
-    return Model(pairs, prior)
+            codes.append(sample["feature"][k].values.to_numpy())
+            counts.append(sample["n"][k].values.to_numpy())
+            truth.append(sample["y"][k].as_py())
+    return Model(codes, counts, np.array(truth, dtype=np.int64), prior)
 
 
 def score_documents(
@@ -271,7 +280,7 @@ def score_documents(
                     if ids is None:
                         if len(known) >= CACHE:
                             known.clear()
-                        ids = known[word] = tuple(number[f] for f in features_of(word) if f in number)
+                        ids = known[word] = tuple(number[f] for f in codes_of(word) if f in number)
                     for i in ids:
                         found[i] = found.get(i, 0) + n
                 order = sorted(found)
@@ -283,7 +292,7 @@ def score_documents(
             )
 
     picked = materialize(slim.mapInArrow(pick, schema))
-    frequency = np.zeros(len(model.names))
+    frequency = np.zeros(model.features)
     for row in picked.select(F.explode("f").alias("f")).groupBy("f").count().collect():  # a row per feature
         frequency[row["f"]] = row["count"]
     if len(model.labels):
