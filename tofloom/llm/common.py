@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -84,5 +85,7 @@ def widen(schema: StructType, fields: dict[str, str]) -> StructType:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of jobs that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first pass finds unreachable is cleaned while the second waits
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
