@@ -8,6 +8,13 @@ of each measure over all documents, and a document outside the fence
 value than a documented floor, so that a group of very even documents doesn't
 lose its ordinary ones.
 
+A group with over a quarter of junk lifts its own ``q75``.  Where ``bounded``
+is set, the fence is therefore held by what the middle and the better side say:
+it doesn't pass both ``q50 + 7 (q50 - q25)`` of the group (the same place where
+the spread is even) and that of all documents, each with the floor.  This holds
+up to half of junk in a group; beyond, the group passes for one of its own kind.
+The pipeline sets it; the query ``op9_quality`` has the plain fence of its SQL.
+
 Edge cases: a null text counts as empty; null languages and sources form groups
 of their own; an empty table gives an empty result; repeated rows are judged
 alike and all kept or all dropped.  Columns of the input keep their names; what
@@ -24,6 +31,8 @@ from .common import WORD_RE, let, materialize, text_of, words_of
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 FENCE = 3.0
+#: The fence's distance from the median, in spreads from the median to the other side's quartile.
+HALF_FENCE = 2 * FENCE + 1
 #: Sketch size: quantiles are off by 1/ACCURACY of the rows at most.
 ACCURACY = 2000
 #: Groups (some hundred bytes each) whose thresholds may be broadcast.
@@ -101,7 +110,19 @@ def _ratios(q: str) -> dict[str, Column]:
     }
 
 
-def judge(docs: DataFrame, carry: list[str], text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def _quartiles(ratios: dict[str, Column]) -> list[Column]:
+    return [F.percentile_approx(r, [0.25, 0.5, 0.75], ACCURACY).alias(f"q_{name}") for name, r in ratios.items()]
+
+
+def _bound(quartiles: Column, side: int, floor: float) -> Column:
+    """The farthest place of a fence, above (side 1) or below (-1) the median."""
+    q25, q50, q75 = (quartiles[k] for k in range(3))
+    return q50 + side * F.greatest(HALF_FENCE * (q50 - q25 if side > 0 else q75 - q50), F.lit(floor))
+
+
+def judge(
+    docs: DataFrame, carry: list[str], text: str = "text", lang: str = "lang", source: str = "source", bounded: bool = False
+) -> DataFrame:
     """``carry`` columns of every document and the struct ``__quality`` (counts, base_failed, kept).
 
     The texts are read once; counts are written to the shared folder beside the
@@ -117,16 +138,22 @@ def judge(docs: DataFrame, carry: list[str], text: str = "text", lang: str = "la
     )
     counted = materialize(counted)
     ratios = _ratios("__m")
-    quartiles = counted.groupBy("__lang", "__source").agg(
-        *(F.percentile_approx(r, [0.25, 0.75], ACCURACY).alias(f"q_{name}") for name, r in ratios.items())
-    )
+    quartiles = counted.groupBy("__lang", "__source").agg(*_quartiles(ratios))
+    if bounded:
+        whole = counted.agg(*_quartiles(ratios)).select(*(F.col(f"q_{name}").alias(f"all_{name}") for name in ratios))
+        quartiles = quartiles.crossJoin(F.broadcast(whole))
     limits = []
     for name, (side, floor) in MEASURES.items():
-        q25, q75 = F.col(f"q_{name}")[0], F.col(f"q_{name}")[1]
+        q25, q75 = F.col(f"q_{name}")[0], F.col(f"q_{name}")[2]
         reach = F.greatest(FENCE * (q75 - q25), F.lit(floor))
-        limits.append((q75 + reach).alias(f"high_{name}"))
+        high, low = q75 + reach, q25 - reach
+        if bounded:
+            own, every = F.col(f"q_{name}"), F.col(f"all_{name}")
+            high = F.least(high, F.greatest(_bound(own, 1, floor), _bound(every, 1, floor)))
+            low = F.greatest(low, F.least(_bound(own, -1, floor), _bound(every, -1, floor)))
+        limits.append(high.alias(f"high_{name}"))
         if side == "both":
-            limits.append((q25 - reach).alias(f"low_{name}"))
+            limits.append(low.alias(f"low_{name}"))
     limits = quartiles.select(F.col("__lang").alias("__l"), F.col("__source").alias("__s"), *limits)
     limits = materialize(limits)
     if limits.count() <= BROADCAST_GROUPS:  # else a shuffled join
@@ -151,6 +178,6 @@ def judge(docs: DataFrame, carry: list[str], text: str = "text", lang: str = "la
     )
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The documents that pass, with their own columns."""
-    return judge(docs, docs.columns).where("__quality.kept").select(*docs.columns)
+    return judge(docs, docs.columns, **options).where("__quality.kept").select(*docs.columns)
