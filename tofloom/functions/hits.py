@@ -59,9 +59,15 @@ def display_time(st: Column, tdc: Column) -> tuple[Column, Column]:
 MODES = ("gdc", "tdc", "legacy_gdc", "rollover", "display")
 
 
-def decode_hits(packets: DataFrame, mode: str = "tdc", order: tuple[str, ...] = ORDER) -> DataFrame:
+def clock_of(mode: str) -> str:
+    """The timing that a mode's pulse clock is extended by."""
+    return "tdc" if mode in ("tdc", "display") else "gdc"
+
+
+def decode_hits(packets: DataFrame, mode: str = "tdc", order: tuple[str, ...] = ORDER, timed: bool = False) -> DataFrame:
     """Hits of a packet table, with the packet's other columns.
 
+    Where ``timed`` is set, packets have their ``tdc``, ``gdc`` and ``rollovers`` already.
     Modes: ``gdc`` and ``tdc`` (hits before the first timing packets go),
     ``legacy_gdc``, ``rollover`` (no timing packets needed), ``display``.
     """
@@ -70,11 +76,13 @@ def decode_hits(packets: DataFrame, mode: str = "tdc", order: tuple[str, ...] =
     word = F.col("word")
     st = P.spider_ticks(word)
     if mode == "rollover":
-        rows = with_rollover(packets.where(P.is_pixel(word)).withColumn("__st", st), "__st", order=order)
+        rows = packets.where(P.is_pixel(word)).withColumn("__st", st)
+        rows = rows if timed else with_rollover(rows, "__st", order=order)
         sp = F.col("__st") + F.col("rollovers") * SPIDER_RANGE
         times = sp, sp % PULSE_TICKS
     else:
-        rows = with_time(packets, "tdc" if mode in ("tdc", "display") else "gdc", order).where(P.is_pixel(word))
+        rows = packets if timed else with_time(packets, clock_of(mode), order)
+        rows = rows.where(P.is_pixel(word))
         known = F.col("tdc") != 0
         if mode in ("gdc", "legacy_gdc"):
             known = known & (F.col("gdc") != 0)

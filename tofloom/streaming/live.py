@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..config import ReduceConfig, default_json
-from ..functions.hits import decode_hits
+from ..functions.hits import clock_of, decode_hits
 from ..operators import cluster as C
 from ..operators import fit as Fit
 from ..operators import imaging as I
@@ -22,6 +22,7 @@ from ..schemas import PACKET
 from ..sources import sinks, tpx3
 
 STOP_PATTERN = "*.nxs.h5"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def packet_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -32,22 +33,24 @@ def packet_stream(spark: SparkSession, path: str) -> DataFrame:
 class TimingState(StatefulProcessor):
     """Carries the clock state of a file from one micro-batch to the next.
 
-    Emits every packet with ``tdc`` and ``gdc``; ``timing`` as in the batch plan.
+    Emits every packet with ``tdc``, ``gdc`` and, for pixels, ``rollovers`` of
+    the 30-bit clock; ``timing`` as in the batch plan.
     """
 
     def __init__(self, timing: str):
         self.timing = timing
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("clock", "lsb long, gdc long, tdc long")
+        self.state = handle.getValueState("clock", "lsb long, gdc long, tdc long, ticks long, rollovers long")
 
     def handleInputRows(self, key, rows, timerValues):
         parts = [pdf for pdf in rows if len(pdf)]
         if not parts:
             return
         pdf = pd.concat(parts).sort_values(["batch_offset", "seq"], kind="stable")
-        lsb, gdc, tdc = self.state.get() if self.state.exists() else (0, 0, 0)
-        tdcs, gdcs = [], []
+        lsb, gdc, tdc, ticks, rolled = self.state.get() if self.state.exists() else (0, 0, 0, 0, 0)
+        tdcs, gdcs, rollovers = [], [], []
+        half = (1 << 30) // 2
         for word in pdf["word"].tolist():
             top = word >> 56 & 0xFF
             if top == 0x6F:
@@ -61,10 +64,15 @@ class TimingState(StatefulProcessor):
                     lsb = word >> 16 & 0xFFFFFFFF
                 elif top & 15 == 5:
                     gdc = (word >> 16 & 0xFFFF) << 32 | lsb or gdc
+            elif top & 0xF0 == 0xB0:
+                now = (word & 0xFFFF) << 14 | word >> 30 & 0x3FFF
+                rolled = max(0, rolled + (ticks - now > half) - (now - ticks > half))
+                ticks = now
             tdcs.append(tdc)
             gdcs.append(gdc)
-        self.state.update((lsb, gdc, tdc))
-        yield pdf.assign(tdc=tdcs, gdc=gdcs)
+            rollovers.append(rolled)
+        self.state.update((lsb, gdc, tdc, ticks, rolled))
+        yield pdf.assign(tdc=tdcs, gdc=gdcs, rollovers=rollovers)
 
     def close(self) -> None:
         pass
@@ -74,21 +82,28 @@ def timed_stream(packets: DataFrame, timing: str = "tdc") -> DataFrame:
     """A packet stream with the clock state after each packet, per file."""
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PACKET)
     return packets.groupBy("file").transformWithStateInPandas(
-        TimingState(timing), f"{names}, tdc bigint, gdc bigint", "append", "none"
+        TimingState(timing), f"{names}, tdc bigint, gdc bigint, rollovers bigint", "append", "none"
     )
 
 
 def cluster_stream(
     packets: DataFrame, out: str, checkpoint: str, timing: str = "tdc", batch: int = 10_000, fitting: str = "fast_gaussian", available_now: bool = True
 ) -> StreamingQuery:
-    """Micro-batches of packets to neutrons, appended by batch number, so that a replayed batch replaces itself."""
+    """Micro-batches of packets to neutrons, appended by batch number, so that a replayed batch replaces itself.
+
+    Clocks go on from one micro-batch of a file to the next; their state needs
+    the RocksDB store, which the session is set to.
+    """
+    packets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
     def write(rows: DataFrame, number: int) -> None:
-        hits = C.numbered_batches(decode_hits(rows, timing), batch)
+        rows.persist()  # read more than once, and stateful
+        hits = C.numbered_batches(decode_hits(rows, timing, timed=True), batch)
         neutrons = Fit.fit(C.cluster(hits, C.LEGACY_ABS), fitting)
         neutrons.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        rows.unpersist()
 
-    query = packets.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    query = timed_stream(packets, clock_of(timing)).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (query.trigger(availableNow=True) if available_now else query).start()
 
 
