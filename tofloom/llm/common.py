@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -66,6 +64,8 @@ def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
         spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
+_recorders: list[list[str]] = []
+
 #: Setting by which Spark deletes a query's shuffle files as soon as the query has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -77,18 +77,34 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark)
+    for paths in _recorders:
+        paths.append(path)
     with setting(spark, _CLEANUP, "true"):
         df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders of all tables that are materialized meanwhile."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders.pop()
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete the files of materialized tables that nothing will read again."""
-    jvm = spark._jvm
     for df in tables:
-        for file in df.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, *(file.rpartition("/")[0] for file in df.inputFiles()[:1]))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -101,11 +117,3 @@ def widen(schema: StructType, fields: dict[str, str]) -> StructType:
     for name, kind in fields.items():
         out = out.add(name, DataType.fromDDL(kind))
     return out
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs that nothing refers to any more."""
-    for _ in range(2):  # what the first pass finds unreachable is cleaned while the second waits
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
