@@ -241,6 +241,7 @@ def test_urls(spark, empty):
         "http://a..com//x//y", "http://example.com:80/en/", "http://a.b.net/es/e?://com/", "x" * 50 + "://" + "l." * 30 + "com/" + "d/" * 40,
     ]
     urls += urls[5:8]
+    urls += ["http://x.net/es/" + "d/" * 500_000, "http://" + "l." * 300_000 + "example.com/en/", "http://a.com/" + "/" * 100_000 + "?/"]
     pages = spark.createDataFrame([(k % 7 if k else None, u) for k, u in enumerate(urls)], "page_id long, url string").withColumn("host", F.lit(1))
     got = url_filters.filter_urls(pages, url_filters.rules_frame(spark, RULES)).select("page_id", "url", "__url.*").collect()
     assert multiset(got) == Counter((k % 7 if k else None, u, *brute_url(u)) for k, u in enumerate(urls))

@@ -11,7 +11,8 @@ inside a segment are found too: the rest is confirmed with a plain prefix test.
 
 Edge cases: a null URL, or one without ``://``, has empty host and path and
 meets no rule.  Repeated rows keep one result row each.  An empty host matches
-no rule.  All labels and all directories are expanded, however many.
+no rule.  A URL is expanded to the greatest number of labels and directories
+that a rule has, so very long URLs cost no more than that.
 """
 
 from __future__ import annotations
@@ -45,31 +46,19 @@ def _directory(path: Column) -> Column:
     return F.regexp_extract(path, r"(?s)^(.*/)?", 1)
 
 
-def _suffixes(host: Column) -> Column:
-    labels = F.split(host, r"\.")
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(
-        F.transform(
-            F.array(labels),
-            lambda own: F.transform(
-                F.sequence(F.lit(1), F.size(own)),
-                lambda i: F.array_join(F.slice(own, i, F.size(own)), "."),
-            ),
-        )[0]
-    )
+def _suffixes(host: Column, labels: int) -> Column:
+    """Suffixes of the host of up to so many labels."""
+    tails = [F.substring_index(host, ".", -k) for k in range(1, labels + 1)]
+    return F.array_distinct(F.filter(F.array(*tails) if tails else F.array().cast("array<string>"), lambda x: x != ""))
 
 
-def _directories(path: Column) -> Column:
-    """The empty prefix and each prefix of the path that ends in a slash."""
-    parts = F.split(path, "/")
+def _directories(path: Column, depth: int) -> Column:
+    """The empty prefix and the prefixes of the path up to each of so many first slashes."""
+    slashes = F.char_length(path) - F.char_length(F.replace(path, F.lit("/"), F.lit("")))
     return F.transform(
-        F.array(parts),
-        lambda own: F.transform(
-            F.sequence(F.lit(0), F.size(own) - 1),
-            lambda i: F.when(i == 0, F.lit("")).otherwise(
-                F.concat(F.array_join(F.slice(own, F.lit(1), i), "/"), F.lit("/"))
-            ),
-        ),
-    )[0]
+        F.sequence(F.lit(0), F.least(slashes, F.lit(depth))),
+        lambda k: F.when(k == 0, F.lit("")).otherwise(F.concat(F.call_function("substring_index", path, F.lit("/"), k), F.lit("/"))),
+    )
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -88,6 +77,9 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: st
         F.lower("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")
     ).withColumn("r_digest", _digest(F.col("r_host"), _directory(F.col("r_path"))))
     filed = filed.withColumn("r_short", _short(F.col("r_digest")))
+    labels, depth = filed.agg(
+        F.max(F.size(F.split("r_host", r"\."))), F.max(F.size(F.split("r_path", "/")) - 1)
+    ).first()
     columns = urls.columns
     rows = urls.select(F.struct(*columns).alias("__row"), F.col(url).cast("string").alias("__u")).select(
         "__row",
@@ -96,8 +88,8 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: st
         path_of(F.col("__u")).alias("__path"),
     )
     spots = rows.select(
-        "__row", "__rid", "__host", "__path", F.explode_outer(_suffixes(F.col("__host"))).alias("__suffix")
-    ).select("*", F.explode(_directories(F.col("__path"))).alias("__dir"))
+        "__row", "__rid", "__host", "__path", F.explode_outer(_suffixes(F.col("__host"), labels or 0)).alias("__suffix")
+    ).select("*", F.explode(_directories(F.col("__path"), depth or 0)).alias("__dir"))
     spots = spots.withColumn("__digest", _digest(F.col("__suffix"), F.col("__dir")))
     met = spots.join(filed, _short(F.col("__digest")) == F.col("r_short"), "left")
     fits = (
