@@ -27,8 +27,10 @@ def tof_bin(seconds: Column, edges: list[float]) -> Column:
     if all(abs(e - (edges[0] + step * i)) <= 1e-9 * step * n for i, e in enumerate(edges)):
         table = edge_array(edges)
         guess = F.least(F.greatest((F.ceil((seconds - F.lit(edges[0])) / F.lit(step)) - 1).cast("int"), F.lit(0)), F.lit(n - 1))
-        guess = F.when(F.get(table, guess) >= seconds, guess - 1).when(F.get(table, guess + 1) < seconds, guess + 1).otherwise(guess)
-        return F.when(inside & (guess >= 0), guess)
+        # bound once: named four times over, the quotient would be copied into every filter that is pushed down
+        put_right = lambda g: F.when(F.get(table, g) >= seconds, g - 1).when(F.get(table, g + 1) < seconds, g + 1).otherwise(g)
+        found = F.transform(F.array(guess), put_right)[0]
+        return F.when(inside, F.nullif(found, F.lit(-1)))
     below = F.size(F.filter(edge_array(edges), lambda e: e < seconds)) - 1
     return F.when(inside & (below >= 0), below)
 

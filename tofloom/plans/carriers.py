@@ -83,6 +83,14 @@ def wide_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dense_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide hits in a quarter of the canvas's side, a batch per hundred orders: clusters compete for slots."""
+    rows = wide_hits(spark, sf_dir).withColumns({"x": F.col("x") % 64, "y": F.col("y") % 64, "__order": F.col("batch_offset")})
+    rows = rows.withColumn("batch_offset", F.floor(F.col("__order") / 100))
+    w = Window.partitionBy("batch_offset").orderBy("__order", "seq")
+    return rows.withColumn("seq", F.row_number().over(w) - 1).drop("__order")
+
+
 EVENTS_SQL = """
 ev AS (
   SELECT event_id, user_id, event_type, CAST(round(value * 100) AS BIGINT) AS v,
@@ -121,4 +129,50 @@ lh AS (
     CAST((l_partkey * 7 + l_linenumber) % 16384 AS INTEGER) AS toa, CAST(l_suppkey % 16 AS INTEGER) AS ftoa,
     (l_partkey * 331 + l_suppkey * 17) % 666667 AS tof, CAST(l_linenumber % 7 AS BIGINT) AS spidertime
   FROM lineitem),
-wh AS (SELECT * REPLACE (CAST((tof * 7) % 517 AS INTEGER) AS x, CAST((tof * 11) % 517 AS INTEGER) AS y) FROM lh)"""
+wh AS (SELECT * REPLACE (CAST((tof * 7) % 517 AS INTEGER) AS x, CAST((tof * 11) % 517 AS INTEGER) AS y) FROM lh),
+dh AS (
+  SELECT * REPLACE (batch_offset // 100 AS batch_offset, CAST(x % 64 AS INTEGER) AS x, CAST(y % 64 AS INTEGER) AS y,
+    CAST(row_number() OVER (PARTITION BY batch_offset // 100 ORDER BY batch_offset, seq) - 1 AS INTEGER) AS seq) FROM wh)"""
+
+
+def box_sql(source: str, slots: int) -> str:
+    """CTE ``ab``: the box search as a fold over each batch's hits, one per step; ``source`` has ``t`` in ns."""
+    fresh = "{'x0': h.x, 'x1': h.x, 'y0': h.y, 'y1': h.y, 't': h.t, 'label': %s}"
+    return f"""
+ab AS (
+  SELECT batch_offset, seq, [{(fresh % '0').replace("h.", "")}] AS slots, {slots} AS following, 0 AS label FROM {source} WHERE seq = 0
+  UNION ALL
+  SELECT batch_offset, seq,
+    CASE WHEN k > 0 THEN list_transform(slots, lambda s, i: CASE WHEN i = k THEN
+        {{'x0': least(s.x0, x), 'x1': greatest(s.x1, x), 'y0': least(s.y0, y), 'y1': greatest(s.y1, y), 't': s.t, 'label': s.label}} ELSE s END)
+      WHEN len(slots) < {slots} THEN list_append(slots, fresh)
+      ELSE list_transform(slots, lambda s, i: CASE WHEN i = oldest THEN fresh ELSE s END) END,
+    following + CASE WHEN k = 0 AND len(slots) = {slots} THEN 1 ELSE 0 END,
+    CASE WHEN k > 0 THEN slots[k].label ELSE fresh.label END
+  FROM (
+    SELECT a.batch_offset, h.seq, h.x, h.y, a.slots, a.following,
+      CAST(coalesce(list_position(list_transform(a.slots, lambda s:
+        abs(h.t - s.t) <= 75 AND h.x BETWEEN s.x0 - 5 AND s.x1 + 5 AND h.y BETWEEN s.y0 - 5 AND s.y1 + 5), true), 0) AS INTEGER) AS k,
+      list_position(list_transform(a.slots, lambda s: s.t), list_min(list_transform(a.slots, lambda s: s.t))) AS oldest,
+      {fresh % f'CASE WHEN len(a.slots) < {slots} THEN CAST(len(a.slots) AS INTEGER) ELSE a.following END'} AS fresh
+    FROM ab a JOIN {source} h ON h.batch_offset = a.batch_offset AND h.seq = a.seq + 1))"""
+
+
+def ring_sql(source: str, slots: int) -> str:
+    """CTE ``ab``: the box search over a ring, of which the last ``slots - 1`` openings are live."""
+    fresh = "{'x0': h.x, 'x1': h.x, 'y0': h.y, 'y1': h.y, 't': h.t, 'label': %s}"
+    return f"""
+ab AS (
+  SELECT batch_offset, seq, [{(fresh % '0').replace("h.", "")}] AS ring, 1 AS following, 0 AS label FROM {source} WHERE seq = 0
+  UNION ALL
+  SELECT batch_offset, seq,
+    CASE WHEN hit IS NOT NULL THEN list_transform(ring, lambda s: CASE WHEN s.label = hit THEN
+        {{'x0': least(s.x0, x), 'x1': greatest(s.x1, x), 'y0': least(s.y0, y), 'y1': greatest(s.y1, y), 't': s.t, 'label': s.label}} ELSE s END)
+      WHEN len(ring) < {slots - 1} THEN list_append(ring, fresh) ELSE list_append(ring[2:], fresh) END,
+    following + CASE WHEN hit IS NULL THEN 1 ELSE 0 END, coalesce(hit, following)
+  FROM (
+    SELECT a.batch_offset, h.seq, h.x, h.y, a.ring, a.following, {fresh % 'a.following'} AS fresh,
+      list_min(list_transform(list_filter(a.ring, lambda s:
+        abs(h.t - s.t) < 3 AND h.x BETWEEN s.x0 - 5 AND s.x1 + 5 AND h.y BETWEEN s.y0 - 5 AND s.y1 + 5),
+        lambda s: {{'place': s.label % {slots}, 'label': s.label}})).label AS hit
+    FROM ab a JOIN {source} h ON h.batch_offset = a.batch_offset AND h.seq = a.seq + 1))"""

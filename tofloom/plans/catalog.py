@@ -12,7 +12,7 @@ from ..functions import timing as T
 from ..operators import checks, cluster, fit, imaging
 from ..operators.gdc import gdc_records as records_of
 from ..sources.tpx3 import unprocessed
-from .carriers import CLOCK_SQL, EVENTS_SQL, LINES_SQL, event_packets, event_words, line_hits, wide_hits
+from .carriers import CLOCK_SQL, EVENTS_SQL, LINES_SQL, box_sql, dense_hits, event_packets, event_words, line_hits, ring_sql, wide_hits
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -172,11 +172,11 @@ def packet_file_counts(spark, d):
 # -- binning, images, spectra -------------------------------------------------
 
 
-def _bins_sql(edges: list[float]) -> str:
+def _bins_sql(edges: list[float], rows: str = "wh") -> str:
     table = ", ".join(f"{e!r}::DOUBLE" for e in edges)
     return f"""b AS (
   SELECT *, CASE WHEN s >= {edges[0]!r}::DOUBLE AND s < {edges[-1]!r}::DOUBLE AND n > 0 THEN CAST(n - 1 AS INTEGER) END AS bin
-  FROM (SELECT *, len(list_filter([{table}], lambda e: e < s)) AS n FROM (SELECT *, tof * 25.0::DOUBLE / 1e9::DOUBLE AS s FROM wh)))"""
+  FROM (SELECT *, len(list_filter([{table}], lambda e: e < s)) AS n FROM (SELECT *, tof * 25.0::DOUBLE / 1e9::DOUBLE AS s FROM {rows})))"""
 
 
 @query(f"WITH {LINES_SQL}, {_bins_sql(UNIFORM)} SELECT batch_offset, seq, bin FROM b")
@@ -306,28 +306,60 @@ def island_stats(spark, d):
     return stats.select("part", "island", "n_hits", *_six("time_mean_ns"), "time_min_ns", "time_max_ns")
 
 
-@query()
+def _abs_sql(rows: str, slots: int, then: str) -> str:
+    timed = f"h AS MATERIALIZED (SELECT *, spidertime * 25 AS t FROM {rows})"
+    labelled = "lab AS (SELECT h.*, ab.label FROM h JOIN ab ON h.batch_offset = ab.batch_offset AND h.seq = ab.seq)"
+    return f"WITH RECURSIVE {LINES_SQL}, {timed}, {box_sql('h', slots)}, {labelled}{then}"
+
+
+_LABELS = " SELECT batch_offset, seq, label FROM lab"
+_NEUTRONS = """, n AS (
+  SELECT batch_offset, label, sum(x * tot)::DOUBLE / sum(tot) AS x, sum(y * tot)::DOUBLE / sum(tot) AS y, avg(tof) AS tof,
+    CAST(sum(tot) AS DOUBLE) AS tot, CAST(count(*) AS INTEGER) AS n_hits
+  FROM lab GROUP BY batch_offset, label HAVING sum(tot) > 0)"""
+
+
+@query(_abs_sql("lh", 8, _LABELS))
 def abs_cluster(spark, d):
     return cluster.cluster(line_hits(spark, d)).select("batch_offset", "seq", "label")
 
 
-@query()
+@query(_abs_sql("lh", 4, _LABELS))
 def abs_cluster_legacy(spark, d):
     return cluster.cluster(line_hits(spark, d), cluster.LEGACY_ABS).select("batch_offset", "seq", "label")
 
 
-@query()
+@query(_abs_sql("dh", 8, _LABELS))
+def abs_cluster_dense(spark, d):
+    """Some four hundred hits a batch, so that open clusters are closed for want of slots."""
+    return cluster.cluster(dense_hits(spark, d)).select("batch_offset", "seq", "label")
+
+
+@query(_abs_sql("lh", 8, _NEUTRONS + " SELECT * FROM n"))
 def abs_neutrons(spark, d):
     return fit.centroid(cluster.cluster(line_hits(spark, d))).drop("file")
 
 
-@query()
+_NEUTRON_IMAGE = _abs_sql("wh", 8, _NEUTRONS + f""", {_bins_sql(UNIFORM, "n")},
+img AS (SELECT bin, round(y) AS iy, round(x) AS ix, count(*) AS count FROM b
+  WHERE bin IS NOT NULL AND round(x) BETWEEN 0 AND 516 AND round(y) BETWEEN 0 AND 516 GROUP BY ALL)""")
+
+
+@query(_spectrum_sql(_NEUTRON_IMAGE, UNIFORM))
 def neutron_spectrum(spark, d):
     neutrons = fit.centroid(cluster.cluster(wide_hits(spark, d)))
     return imaging.spectrum(imaging.tof_image(neutrons, UNIFORM), UNIFORM)
 
 
-@query()
+_DISPLAY = f"""WITH RECURSIVE {LINES_SQL}, h AS MATERIALIZED (
+  SELECT * REPLACE (batch_offset // 500 AS batch_offset,
+    row_number() OVER (PARTITION BY batch_offset // 500 ORDER BY seq, tof, toa, x, y, tot) - 1 AS seq), spidertime AS t FROM lh),
+{ring_sql('h', 128)}, lab AS (SELECT h.*, ab.label FROM h JOIN ab ON h.batch_offset = ab.batch_offset AND h.seq = ab.seq)
+SELECT batch_offset, label, round(sum(x * tot) * 8.0::DOUBLE / sum(tot), 6) AS x, round(sum(y * tot) * 8.0::DOUBLE / sum(tot), 6) AS y, count(*) AS n
+FROM lab GROUP BY batch_offset, label HAVING count(*) > 10"""
+
+
+@query(_DISPLAY)
 def display_clusters(spark, d):
     rows = line_hits(spark, d).withColumn("batch_offset", F.floor(F.col("batch_offset") / 500))
     labelled = cluster.cluster(rows, cluster.DISPLAY, order=("seq", "tof", "toa", "x", "y", "tot"))
