@@ -436,6 +436,41 @@ def test_cover_meets_every_shift():
     assert (substrings.unpack(substrings.pack(names)) == names).all()
 
 
+def test_hostile_strings(spark):
+    """Strings whose polynomial hashes modulo 2^64 agree are told apart."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    flipped = word.translate(str.maketrans("ab", "ba"))
+    head, tail = "x" * 60, "0123456789" * 3
+    rows = [(1, head[:30] + word[:64] + tail), (2, head[:30] + flipped[:64] + tail), (3, word), (4, flipped), (5, tail * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert multiset(r[:5] for r in substrings.remove_repeats(docs).collect()) == brute_repeats(rows)
+
+
+def test_names_that_collide():
+    """Where two strings share a name, the check tells them apart."""
+    rng = np.random.default_rng(3)
+    names, checks, ids = rng.integers(1, 4, 60, dtype=np.uint64), rng.integers(5, 8, 60, dtype=np.uint32), rng.integers(0, 9, 60)
+    got, low, high, place, own = substrings._distinct(names, ids, checks)
+    both = list(zip(names.tolist(), checks.tolist()))
+    assert list(zip(got.tolist(), own.tolist())) == sorted(set(both))
+    for k, key in enumerate(both):
+        of = [i for i, other in zip(ids.tolist(), both) if other == key]
+        assert (got[place[k]], own[place[k]], low[place[k]], high[place[k]]) == (*key, min(of), max(of))
+    lists = [sorted(set(both[k::4])) for k in range(4)]
+    batch = pa.RecordBatch.from_arrays(
+        [
+            pa.array([0] * 4, pa.int32()), pa.array(range(4), pa.int64()),
+            pa.array([substrings.pack(np.array([n for n, _ in x], np.uint64)) for x in lists], pa.binary()),
+            pa.array([np.array([c for _, c in x], "<u4").tobytes() for x in lists], pa.binary()),
+        ],
+        names=["range", "block", "names", "checks"],
+    )
+    (out,) = substrings._merge(earlier_only=True)([batch])
+    for k, (n, bits) in enumerate(zip(out.column("n").to_pylist(), out.column("bits").to_pylist())):
+        found = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool).tolist()
+        assert found == [any(x in earlier for earlier in lists[:k]) for x in lists[k]]
+
+
 # -- 9 ------------------------------------------------------------------------
 
 
