@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tokenizers
@@ -446,10 +447,18 @@ def test_hostile_strings(spark):
     assert multiset(r[:5] for r in substrings.remove_repeats(docs).collect()) == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("top", [3, 200, 2**20, 2**63])
+def test_order_of_names(top):
+    names = np.random.default_rng(top % 97).integers(0, top, 5000, dtype=np.uint64)
+    names = np.concatenate([names, names[:1000] ^ np.uint64(1), names[:7]])
+    assert (substrings._order(names) == np.argsort(names, kind="stable")).all()
+    assert len(substrings._order(names[:0])) == 0 and substrings._order(names[:1]).tolist() == [0]
+
+
 def test_names_that_collide():
     """Where two strings share a name, the check tells them apart."""
     rng = np.random.default_rng(3)
-    names, checks, ids = rng.integers(1, 4, 60, dtype=np.uint64), rng.integers(5, 8, 60, dtype=np.uint32), rng.integers(0, 9, 60)
+    names, checks, ids = rng.integers(1, 4, 60, dtype=np.uint64), rng.integers(5, 8, 60, dtype=np.uint32), np.sort(rng.integers(0, 9, 60))
     got, low, high, place, own = substrings._distinct(names, ids, checks)
     both = list(zip(names.tolist(), checks.tolist()))
     assert list(zip(got.tolist(), own.tolist())) == sorted(set(both))

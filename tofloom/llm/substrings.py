@@ -61,14 +61,23 @@ _SAMPLED = np.zeros(PERIOD, dtype=bool)
 _SAMPLED[list(COVER)] = True
 
 
+#: Strings hashed at once: their words stay in the processor's cache.
+STEP = 1 << 13
+
+
 def _lane(words: list[np.ndarray], seed: int, factor: int) -> np.ndarray:
-    h = np.full(len(words[0]), seed, dtype=np.uint64)
-    for word in words:
+    h = words[0] ^ np.uint64(seed)
+    shifted = np.empty_like(h)
+    for word in words[1:]:
+        h *= np.uint64(factor)
+        np.right_shift(h, np.uint64(32), out=shifted)
+        h ^= shifted
         h ^= word
+    for _ in range(2):
         h *= np.uint64(factor)
-        h ^= h >> np.uint64(32)
-    h *= np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(29))
+        np.right_shift(h, np.uint64(29), out=shifted)
+        h ^= shifted
+    return h
 
 
 def hashes(data: np.ndarray, at: np.ndarray, length: int, checked: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
@@ -77,14 +86,17 @@ def hashes(data: np.ndarray, at: np.ndarray, length: int, checked: bool = True)
     Every word of eight bytes is mixed in, so no algebra links the names of
     strings that are alike; a rolling polynomial modulo 2^64 has such links.
     """
-    if not len(at):
-        return np.empty(0, np.uint64), np.empty(0, np.uint32)
-    every = np.ndarray(len(data) - 7, dtype="<u8", buffer=data, strides=(1,))  # the word at each byte
-    words = [every[at + k] for k in (*range(0, length - 8, 8), length - 8)]
-    names = _lane(words, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
-    if not checked:
-        return names, None
-    return names, (_lane(words, 0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32)
+    names = np.empty(len(at), np.uint64)
+    checks = np.empty(len(at), np.uint32) if checked else None
+    if len(at):
+        every = np.ndarray(len(data) - 7, dtype="<u8", buffer=data, strides=(1,))  # the word at each byte
+    for k in range(0, len(at), STEP):
+        part = slice(k, k + STEP)
+        words = [every[at[part] + j] for j in (*range(0, length - 8, 8), length - 8)]
+        names[part] = _lane(words, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
+        if checked:
+            checks[part] = _lane(words, 0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93) >> np.uint64(32)
+    return names, checks
 
 
 def pack(names: np.ndarray) -> bytes:
@@ -201,29 +213,50 @@ class Block:
         return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _order(names: np.ndarray) -> np.ndarray:
+    """Stable sorting order.  Low bits give way to the position, which sorts plain integers; rare wrong ties are put right."""
+    bits = np.uint64(max(1, (len(names) - 1).bit_length()))
+    keys = (names >> bits << bits) | np.arange(len(names), dtype=np.uint64)
+    keys.sort()
+    order = (keys & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    now = names[order]
+    if (now[1:] < now[:-1]).any():
+        tied = np.zeros(len(now), dtype=bool)
+        tied[1:] = (now[1:] >> bits) == (now[:-1] >> bits)
+        tied[:-1] |= tied[1:]
+        at = np.flatnonzero(tied)
+        order[at] = order[at][np.argsort(now[at], kind="stable")]
+    return order
+
+
 def _sorted(names: np.ndarray, checks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Stable order by name and check, and which row of that order starts a new one."""
-    order = np.argsort(names, kind="stable")
-    if checks is not None and (np.diff(names[order]) == 0)[np.diff(checks[order].astype(np.int64)) != 0].any():
-        order = np.lexsort((checks, names))  # two strings share a name
+    order = _order(names)
+    now = names[order]
     new = np.ones(len(names), dtype=bool)
-    new[1:] = np.diff(names[order]) != 0
+    np.not_equal(now[1:], now[:-1], out=new[1:])
     if checks is not None:
-        new[1:] |= np.diff(checks[order].astype(np.int64)) != 0
+        now = checks[order]
+        other = now[1:] != now[:-1]
+        if (other & ~new[1:]).any():  # two strings share a name
+            order = np.lexsort((checks, names))
+            new[1:] = (np.diff(names[order]) != 0) | (np.diff(checks[order]) != 0)
     return order, new
 
 
 def _distinct(names: np.ndarray, ids: np.ndarray, checks: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Sorted distinct names, smallest and largest id of each, each row's place among them, and their checks."""
+    """Sorted distinct names, smallest and largest id of each, each row's place among them, and their checks.
+
+    ``ids`` don't fall.
+    """
     if not len(names):
         return names, ids, ids, np.empty(0, np.int64), checks
     order, new = _sorted(names, checks)
     heads = np.flatnonzero(new)
+    first, last = order[heads], order[np.append(heads[1:], len(names)) - 1]
     place = np.empty(len(names), dtype=np.int64)
     place[order] = np.cumsum(new) - 1
-    by = ids[order]
-    first = order[heads]
-    return names[first], np.minimum.reduceat(by, heads), np.maximum.reduceat(by, heads), place, None if checks is None else checks[first]
+    return names[first], ids[first], ids[last], place, None if checks is None else checks[first]
 
 
 def _rounded(names: np.ndarray, bits: int) -> np.ndarray:
