@@ -378,6 +378,24 @@ def test_toxicity(spark, empty):
     assert {r.score for r in toxicity.score_documents(docs, marks.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_of_repeated_ids(spark, docs):
+    """Repeated labelled ids, in any order of rows, give one example each; evidence names documents."""
+    texts = ["w1 w2 grunfle w3", "w4 w5 w6 w7", "sporkey w8 grunfle w9", "w2 w4 w6 w8"]
+    rows = [(k % 12, texts[k % 4] + f" v{k % 7}", "x") for k in range(60)]
+    rows += [rows[5]] * 40 + [(2, None, "x"), (3, "grunfle " * 30_000, "x")]
+    marks = spark.createDataFrame([(k, int(k % 2 == 0), "y") for k in range(12)], "doc_id long, toxic int, score string")
+    runs = []
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, "doc_id long, text string, score string").repartition(3)
+        got = toxicity.score_documents(frame, marks).collect()
+        runs.append(multiset((r.doc_id, round(r.score, 9), r.predicted) for r in got))
+        named = {int(x.split(":")[0]) for r in got for x in r.evidence.split(",") if x}
+        assert named <= {k for k in range(12) if zlib.crc32(str(k).encode()) % 3 != 1}
+    assert runs[0] == runs[1] and sum(runs[0].values()) == len(rows)
+    clashing = toxicity.score_documents(docs, marks)
+    assert clashing.count() == docs.count()
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(1)
     vectors = []

@@ -18,7 +18,8 @@ these bounds alone.
 Edge cases: null and empty texts, and texts without a known feature, get the
 share of toxic labels; without any label the score is 0.  Labels of unknown
 documents and null labels are ignored; a document labelled twice is toxic if
-one label says so.
+one label says so; of labelled rows that share an id the least text is learnt
+from.
 """
 
 from __future__ import annotations
@@ -231,7 +232,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str
     parts = [marked.where(f"__y = {y}").orderBy("__h").limit(most) for y, most in ((1, TOXIC), (0, CLEAN))]
     chosen = materialize(parts[0].union(parts[1]))
     rows = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("__id"))  # at most TOXIC + CLEAN ids
-    rows = rows.select("__id", "__y", text_of(text).alias("__text"))
+    # one row per id, whatever the order of rows; copies are combined before anything moves
+    rows = rows.select("__id", "__y", text_of(text).alias("__text")).groupBy("__id", "__y").agg(F.min("__text").alias("__text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,20 +250,17 @@ def learn(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str
     kind = docs.schema[doc_id].dataType.simpleString()
     sample = rows.mapInArrow(count, f"id {kind}, y int, feature array<long>, n array<long>")
     sample = sample.orderBy("id").toArrow()
-    seen, codes, counts, truth = set(), [], [], []
-    for k in range(sample.num_rows):
-        if (i := sample["id"][k].as_py()) not in seen:
-            seen.add(i)
-            codes.append(sample["feature"][k].values.to_numpy())
-            counts.append(sample["n"][k].values.to_numpy())
-            truth.append(sample["y"][k].as_py())
-    return Model(codes, counts, np.array(truth, dtype=np.int64), prior)
+    codes = [row.values.to_numpy() for row in sample["feature"]]
+    counts = [row.values.to_numpy() for row in sample["n"]]
+    model = Model(codes, counts, sample["y"].to_numpy().astype(np.int64), prior)
+    model.ids = sample["id"].to_pylist()
+    return model
 
 
 def score_documents(
     docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", threshold: float = 0.7
 ) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` and ``evidence`` ("example:similarity" of the nearest) per document."""
+    """``doc_id, held_out, score, predicted`` and ``evidence`` ("doc_id:similarity" of the nearest examples) per document."""
     spark = docs.sparkSession
     model = learn(docs, labels, text, doc_id, label)
     names = spark.sparkContext.broadcast(model.number)
@@ -306,7 +305,7 @@ def score_documents(
             for f, n in zip(batch.column("f").to_pylist(), batch.column("n").to_pylist()):
                 score, places, near = own.score(np.array(f, dtype=np.int64), np.array(n, dtype=np.float64))
                 scores.append(score)
-                evidence.append(",".join(f"{p}:{s:.3f}" for p, s in zip(places[:3], near[:3])))
+                evidence.append(",".join(f"{own.ids[p]}:{s:.3f}" for p, s in zip(places[:3], near[:3])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, pa.string())],
                 names=["doc_id", "score", "evidence"],
