@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from tofloom.llm import mixing
+from tofloom.llm import mixing, queries
 
 SCHEMA = "doc_id long, text string, source string, n_chars long"
 
@@ -37,3 +37,17 @@ def test_order_survives_files(spark, many_files, tmp_path):
         assert positions == sorted(positions) and len({(r.doc_id, r.epoch) for r in got}) == len(copies)
         assert max(r.epoch for r in got) > 0
     assert [r.place for r in corpus_pipeline.encode(spark, docs, "").collect()] == list(range(150))
+
+
+def test_query_reads_the_sorted_mix(spark, docs, many_files, tmp_path, monkeypatch):
+    """op5_mixing takes words and positions from the mix that was range-sorted by training position."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    sort, sorted_mixes = mixing.in_training_order, []
+    monkeypatch.setattr(mixing, "in_training_order", lambda *args: sorted_mixes.append(sort(*args)) or sorted_mixes[-1])
+    got = queries.op5_mixing(spark, str(tmp_path)).collect()
+    copies = [r["__copy"] for r in sorted_mixes[0].collect()]
+    assert [c.position for c in copies] == sorted(c.position for c in copies)
+    assert sum(c.words for c in copies) == sum(r.taken for r in got) and max(c.epoch for c in copies) > 0
+    plan = mixing.plan_mix(docs, ["doc_id"]).select("doc_id", "__mix.*").collect()
+    want = [(r.doc_id, r.size, r.source_size, r.target, r.taken, round(r.copies[0].position, 6) if r.copies else None) for r in plan]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)

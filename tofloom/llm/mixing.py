@@ -162,6 +162,29 @@ def plan_mix(
     )
 
 
+def in_training_order(copies: DataFrame, *ties: str | Column) -> DataFrame:
+    """Rows with a copy in ``__copy``, range-sorted by its position, then epoch and ``ties``."""
+    copies = copies.withColumn("__at", F.col("__copy.position"))
+    return copies.repartitionByRange("__at").sortWithinPartitions("__at", "__copy.epoch", *ties).drop("__at")
+
+
+def mix_report(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
+    """``doc_id, size, source_size, target, taken, position`` of every document, the last two from its copies in the sorted mix.
+
+    ``position`` is that of the document's first copy, null if it has none.
+    """
+    plan = plan_mix(docs, [doc_id], doc_id=doc_id, **options)
+    plan = materialize(plan.select(F.col(doc_id).alias("doc_id"), "__mix", F.monotonically_increasing_id().alias("__row")))
+    mix = materialize(in_training_order(plan.select("__row", F.explode("__mix.copies").alias("__copy")), "__row"))
+    per = mix.groupBy("__row").agg(F.sum("__copy.words").alias("words"), F.min("__copy.position").alias("first"))
+    return plan.join(per, "__row", "left").select(
+        "doc_id",
+        *(F.col(f"__mix.{c}").alias(c) for c in ("size", "source_size", "target")),
+        F.coalesce("words", F.lit(0).cast("long")).alias("taken"),
+        F.round("first", 6).alias("position"),
+    )
+
+
 def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The mix itself: one row per copy, range-sorted by training position.
 
@@ -172,9 +195,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame
     )
     cut = let(words_of(text_of(text)), lambda ws: F.array_join(F.slice(ws, F.lit(1), F.col("__copy.words").cast("int")), " "))
     kept = F.when(F.col("__copy.words") < F.col("__size"), cut).otherwise(F.col(text))
-    copies = copies.withColumn(text, kept).withColumn("__at", F.col("__copy.position"))
-    order = ["__at", "__copy.epoch"]
-    return copies.repartitionByRange("__at").sortWithinPartitions(*order).select(*docs.columns)
+    return in_training_order(copies.withColumn(text, kept)).select(*docs.columns)
 
 
 def in_written_order(mix: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
