@@ -3,9 +3,10 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
-from tofloom.llm import nearcopies
+from tofloom.llm import nearcopies, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -71,3 +72,28 @@ def test_rows_not_ids(spark):
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(3, one + " end"), (5, two), (None, three), (7, "")], key=str)
     assert corpus_pipeline.near_dedup(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
+
+
+def test_candidates_by_simhash():
+    """Fingerprints are SimHash: of all shingles, and of those that min-hashes draw; the trie join finds pairs at 0.8 by them."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(150):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        texts += [" ".join(words), " ".join(edited(words, 6, rng))]
+    near = {(k, k + 1) for k in range(0, 300, 2) if jaccard(texts[k], texts[k + 1]) >= 0.8}
+    least, sizes, prints = nearcopies.signatures(texts, 5)
+    assert prints[:, 0].view(np.int64).tolist() == simhash.fingerprints_of(texts, 5).tolist()
+    hashes = {int(h) for h in simhash._hashes(texts[0].encode().split(), 5).__next__()}
+    of = lambda h, k: (h ^ int(nearcopies._XOR[k])) * int(nearcopies._MULTIPLY[k]) % 2**64
+    drawn = [next(h for h in hashes if of(h, k) == least[0, k]) for k in range(0, 96, 24)]
+    majority = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in drawn) > 2)
+    assert int(prints[0, 1]) == majority
+    found = set()
+    for k in range(prints.shape[1]):
+        order = np.argsort(prints[:, k], kind="stable")
+        for i, j in simhash.near_pairs(prints[order, k], np.zeros(300, dtype=np.int64), nearcopies.DRAWN_BUDGET if k else nearcopies.BUDGET):
+            found |= {(min(a, b), max(a, b)) for a, b in zip(order[i].tolist(), order[j].tolist())}
+    assert len(near) > 100 and near <= found
+    whole = {(k, k + 1) for k, _ in near if int(prints[k, 0] ^ prints[k + 1, 0]).bit_count() <= nearcopies.BUDGET}
+    assert len(whole) < len(near)

@@ -135,14 +135,13 @@ class _Union:
                 root[:] = up
 
 
-def trie_links(values: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links inside each group: positions (i, j).
+def near_pairs(values: np.ndarray, group: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of positions inside a group whose values differ in at most ``budget`` bits (some both ways round).
 
     ``values`` are uint64, sorted inside each group; ``group`` is sorted.  Node
     pairs of all groups are walked together, level by level, in chunks.
     """
     n = len(values)
-    union = _Union(n)
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     ends = np.concatenate([starts[1:], [n]])
     many = ends - starts > 1
@@ -155,7 +154,7 @@ def trie_links(values: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.n
             ones[level] = np.concatenate([[0], np.cumsum(bit.astype(np.int32))]).astype(np.int32)
         return ones[level]
 
-    def leaves(a0, a1, b0, b1) -> None:
+    def leaves(a0, a1, b0, b1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         sizes = (a1 - a0) * (b1 - b0)
         at = 0
         total = np.cumsum(sizes)
@@ -168,7 +167,7 @@ def trie_links(values: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.n
             wide = (b1[part] - b0[part])[which]
             i, j = a0[part][which] + k // wide, b0[part][which] + k % wide
             near = (i != j) & (np.bitwise_count(values[i] ^ values[j]) <= budget)
-            union.add(i[near], j[near])
+            yield i[near], j[near]
             at = stop
 
     stack = [(0, starts, ends, starts, ends, np.zeros(len(starts), dtype=np.int8))]
@@ -180,7 +179,7 @@ def trie_links(values: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.n
             continue
         done = ((a1 - a0) * (b1 - b0) <= LEAF) | (level == BITS)
         if done.any():
-            leaves(a0[done], a1[done], b0[done], b1[done])
+            yield from leaves(a0[done], a1[done], b0[done], b1[done])
             a0, a1, b0, b1, differ = (x[~done] for x in (a0, a1, b0, b1, differ))
         if not len(a0):
             continue
@@ -199,7 +198,14 @@ def trie_links(values: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.n
         # a node with itself needs two fingerprints
         live &= ~((a0 == b0) & (a1 == b1) & (a1 - a0 < 2))
         stack.append((level + 1, *(x[live] for x in (a0, a1, b0, b1, differ))))
-    far = np.flatnonzero(union.root != np.arange(n))
+
+
+def trie_links(values: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links inside each group: positions (i, j)."""
+    union = _Union(len(values))
+    for i, j in near_pairs(values, group, budget):
+        union.add(i, j)
+    far = np.flatnonzero(union.root != np.arange(len(values)))
     return far, union.root[far]
 
 
