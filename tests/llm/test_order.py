@@ -51,3 +51,20 @@ def test_query_reads_the_sorted_mix(spark, docs, many_files, tmp_path, monkeypat
     plan = mixing.plan_mix(docs, ["doc_id"]).select("doc_id", "__mix.*").collect()
     want = [(r.doc_id, r.size, r.source_size, r.target, r.taken, round(r.copies[0].position, 6) if r.copies else None) for r in plan]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_rows_move_twice(spark, docs):
+    """On its way into the mix a text is shuffled for its place in its source and for the range sort, not once more to meet the sums."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mixing.mixed_documents(docs)._jdf.queryExecution().executedPlan().initialPlan()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moves, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+        if node.nodeName() == "Exchange" and any(name in node.output().mkString(",") for name in ("__row", "text")):
+            moves.append(node.outputPartitioning().toString().partition("(")[0])
+    assert sorted(x for x in moves if x != "RoundRobinPartitioning") == ["hashpartitioning", "rangepartitioning"]

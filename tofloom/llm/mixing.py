@@ -71,6 +71,11 @@ def source_targets(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epoc
     )
 
 
+def _never_null(source: Column) -> list[Column]:
+    """The source as two columns that plain equality compares."""
+    return [F.coalesce(source.cast("string"), F.lit("")).alias("__name"), source.isNull().alias("__unnamed")]
+
+
 def position_of(share: Column, schedule: tuple[float, ...]) -> Column:
     """Training time at which ``share`` (0 to 1) of a source's demand is met.
 
@@ -127,16 +132,18 @@ def plan_mix(
     sums = slim.groupBy("source", bucket.alias("__bucket")).agg(F.sum("size").alias("n"))
     upto = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(
-        F.col("source").alias("__bs"), F.col("__bucket").alias("__bb"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("__base")
+        F.col("source").alias("__bs"), F.col("__bucket"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("__base")
     )
-    sums = sums.join(facts, F.col("__bs").eqNullSafe(F.col("__s"))).drop("__s")
+    sums = sums.join(facts, F.col("__bs").eqNullSafe(F.col("__s"))).select("*", *_never_null(F.col("__bs"))).drop("__s", "__bs")
+    # Rows move once: the window and the join go by the same columns, which are never null.
+    group = ["__name", "__unnamed", "__bucket"]
     inside = (
-        Window.partitionBy("source", "__bucket")
+        Window.partitionBy(*group)
         .orderBy("__h", F.col("__id").asc_nulls_last(), "size")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    placed = rows.withColumn("__bucket", bucket).withColumn("__upto", F.sum("size").over(inside))
-    placed = placed.join(sums, F.col("source").eqNullSafe(F.col("__bs")) & (F.col("__bucket") == F.col("__bb")))
+    placed = rows.select("*", bucket.alias("__bucket"), *_never_null(F.col("source"))).withColumn("__upto", F.sum("size").over(inside))
+    placed = placed.join(sums, group)
     goal = F.round("target").cast("long")
     start = F.col("__base") + F.col("__upto") - F.col("size")
 
