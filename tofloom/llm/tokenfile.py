@@ -33,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tokenizers
 from pyspark import TaskContext
@@ -41,12 +42,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import discard, materialize, shared_dir, widen
+from .wordcache import Learnt, WordCache, cut, joined, merged, steps
 
 SCALE = 20
 LANES = 2048
 BLOCK_TOKENS = 1 << 19
 SHARD_TOKENS = 1 << 22
-#: Words, and pieces of words, that one worker remembers; it starts afresh when they are full.
+#: Words, and pieces of words, that one worker remembers; the rarer ones go when they are full.
 CACHE, PIECES = 600_000, 900_000
 LOW = np.uint64(1 << 31)
 MAGIC = b"TRNS"
@@ -59,8 +61,6 @@ BROADCAST_FILES = 200_000
 _PLAIN = regex.compile(r"[\x00-\x7e\xa1-\xb4\xb6-įĲ-ňŊ-ž]*")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _PARTS = regex.compile(_PIECES.pattern + "| ")
-#: Stands between the ids of words; no run of ids holds these bytes (16-bit ids are below 0xFE00, 32-bit ones have a zero byte).
-_GAP = b"\xff\x00\xfe\xff\x00\xff\xff\xfe"
 
 
 class WordCoder:
@@ -97,76 +97,61 @@ class WordCoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         if suffix:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        """Pieces are coded many at a time; each ends with its only id that has the end-of-word mark."""
-        for at in range(0, len(pieces), 2048):
-            part = pieces[at : at + 2048]
+        self.words = WordCache(self._learn, self.kind, CACHE)
+        self.pieces = WordCache(self._learn_pieces, self.kind, PIECES)
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.library.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn_pieces(self, pieces: list[str]) -> Learnt:
+        """Pieces are coded many at a time; each ends with its only id that has the end-of-word mark.
+
+        The space, which stands between words, has no id.
+        """
+        flat: list[np.ndarray] = [np.empty(0, self.kind)]
+        sizes: list[np.ndarray] = []
+        blank = pieces.index(" ") if " " in pieces else -1
+        coded = pieces[:blank] + pieces[blank + 1 :] if blank >= 0 else pieces
+        for at in range(0, len(coded), 2048):
+            part = coded[at : at + 2048]
             ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part) or stops[-1] != len(ids):
-                self.pieces.update(zip(part, self._library(part)))
+                own = self._library(part)
+                flat += own
+                sizes.append(np.fromiter(map(len, own), np.int64, len(own)))
                 continue
-            raw, size, start = ids.tobytes(), ids.itemsize, 0
-            for piece, stop in zip(part, (stops * size).tolist()):
-                self.pieces[piece] = raw[start:stop]
-                start = stop
+            flat.append(ids)
+            sizes.append(np.diff(stops, prepend=0))
+        size = np.concatenate([np.empty(0, np.int64), *sizes])
+        return cut(np.concatenate(flat), np.cumsum(np.insert(size, blank, 0) if blank >= 0 else size))
 
-    def _learn(self, words: list[str]) -> None:
-        other: list[str] = []
+    def _learn(self, words: list[str]) -> Learnt:
         line = " ".join(words)
-        if not _PLAIN.fullmatch(line) or any(special in line for special in self.special):
-            plain = [bool(_PLAIN.fullmatch(w)) and not any(special in w for special in self.special) for w in words]
-            other = [w for w, p in zip(words, plain) if not p]
-            words = [w for w, p in zip(words, plain) if p]
-            line = " ".join(words)
-        self.words.update(zip(other, self._library(other) if other else ()))
+        if _PLAIN.fullmatch(line) and not any(special in line for special in self.special):
+            return self._learn_plain(words)
+        other = np.array([not _PLAIN.fullmatch(w) or any(special in w for special in self.special) for w in words])
+        plain = self._learn_plain([w for w, o in zip(words, other) if not o])
+        return merged(other, plain, joined(self._library([w for w, o in zip(words, other) if o]), self.kind))
+
+    def _learn_plain(self, words: list[str]) -> Learnt:
         if not words:
-            return
-        parts = _PARTS.findall(line.lower())
-        known = self.pieces
-        new = {p for p in parts if p not in known}
-        new.discard(" ")
-        if len(known) + len(new) > PIECES:
-            known.clear()
-            new = set(parts)
-            new.discard(" ")
-        self._learn_pieces(list(new))
-        known[" "] = _GAP
-        coded = b"".join(map(known.__getitem__, parts)).split(_GAP)
-        self.words.update(zip(words, coded, strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+            return cut(np.empty(0, self.kind), np.empty(0, np.int64))
+        parts = [" ", *_PARTS.findall(" ".join(words).lower()), " "]
+        places = self.pieces.places(parts, len(parts))
+        ids, ends = self.pieces.gather(places)
+        gaps = np.flatnonzero(places == places[0])[1:]
+        if len(gaps) != len(words):
+            raise ValueError("words and their pieces don't agree")
+        self.pieces.trim()
+        return cut(ids, ends[gaps])
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Ids of each text as little-endian integers of type ``kind``."""
         if not self.by_word:
-            return self._library(texts)
-        split = [_ascii_words(t) for t in texts]
-        known = self.words
-        missing = list({w for ws in split for w in ws if w not in known})
-        if len(known) + len(missing) > CACHE:
-            known.clear()
-            missing = list({w for ws in split for w in ws})
-        self._learn(missing)
-        get = known.__getitem__
-        out = [b"".join(map(get, ws)) for ws in split]
-        if len(known) > CACHE:
-            known.clear()
-        return out
-
-
-_SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
-
-
-def _ascii_words(text: str) -> list[str]:
-    """Words between white space; Python also splits at four control characters, which aren't white space here."""
-    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-        return [w for w in text.translate(_SPACES).split(" ") if w]
-    return text.split()
+            return [i.tobytes() for i in self._library(texts if isinstance(texts, list) else texts.to_pylist())]
+        # Words between ASCII white space, and empty ones before and after it.
+        return [i.tobytes() for i in self.words.encode(pc.ascii_split_whitespace(pa.array(texts, pa.string())))]
 
 
 @lru_cache(maxsize=2)
@@ -183,9 +168,8 @@ def add_ids(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text") ->
         own = coder(tokenizer)
         end, size = np.array([end_id]).astype(own.kind).tobytes(), np.dtype(own.kind).itemsize
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [i + end for i in own.encode([t or "" for t in part.column(text).to_pylist()])]
+            for part in steps(batch, text):
+                ids = [i + end for i in own.encode(pc.fill_null(part.column(text), ""))]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in carry), pa.array(ids, pa.binary()), pa.array([len(i) // size for i in ids], pa.int64())],
                     names=schema.fieldNames(),
