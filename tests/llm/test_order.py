@@ -68,3 +68,17 @@ def test_rows_move_twice(spark, docs):
         if node.nodeName() == "Exchange" and any(name in node.output().mkString(",") for name in ("__row", "text")):
             moves.append(node.outputPartitioning().toString().partition("(")[0])
     assert sorted(x for x in moves if x != "RoundRobinPartitioning") == ["hashpartitioning", "rangepartitioning"]
+
+
+def test_rows_move_once_on_their_way_out(spark, docs, tmp_path):
+    """Where the last stage sorts texts by place they are shuffled once; epochs come to them there."""
+    docs.select("doc_id", "source", "text").write.parquet(f"{tmp_path}/mix")
+    out = mixing.in_written_order(spark.read.parquet(f"{tmp_path}/mix"))
+    moves, todo = [], [out._jdf.queryExecution().executedPlan().initialPlan()]
+    while todo:
+        node = todo.pop()
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+        if node.nodeName() == "Exchange" and "text" in node.output().mkString(","):
+            moves.append(node.outputPartitioning().toString().partition("(")[0])
+    assert moves == ["rangepartitioning"]

@@ -226,6 +226,10 @@ def in_written_order(mix: DataFrame, text: str = "text", doc_id: str = "doc_id")
     # copies of a document come in the order of their epochs; ids tell them (the last may be cut), texts where there is no id
     same = [F.col(doc_id), F.when(F.col(doc_id).isNull(), F.xxhash64(text))]
     epoch = F.row_number().over(Window.partitionBy(*same).orderBy("place")) - 1
-    slim = rows.select(F.col("place").alias("__p"), epoch.alias("epoch")).where("epoch > 0")
-    rows = rows.join(slim, F.col("place") == F.col("__p"), "left").withColumn("epoch", F.coalesce("epoch", F.lit(0)))
-    return rows.repartitionByRange("place").sortWithinPartitions("place").select(*mix.columns, "place", "epoch")
+    later = rows.select("place", epoch.alias("epoch")).where("epoch > 0")
+    # The numbers of later copies go by themselves to where their rows lie, so that texts move once.
+    later = later.select(*(F.lit(None).cast(mix.schema[c].dataType).alias(c) for c in mix.columns), "place", "epoch", F.lit(False).alias("__own"))
+    rows = rows.select(*mix.columns, "place", F.lit(0).alias("epoch"), F.lit(True).alias("__own")).union(later)
+    rows = rows.repartitionByRange("place").sortWithinPartitions("place")
+    rows = rows.withColumn("epoch", F.max("epoch").over(Window.partitionBy("place"))).where("__own")
+    return rows.select(*mix.columns, "place", "epoch")

@@ -26,16 +26,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
 from .common import widen
+from .wordcache import Learnt, WordCache, cut, joined, merged, steps
 
 MARK = "▁"
-#: Chunks that one worker remembers; it starts afresh when they are full.
-CACHE = 300_000
+#: Chunks that one worker remembers; the rarer ones go when they are full.
+CACHE = 200_000
 
 
 class CharacterMap:
@@ -104,7 +106,7 @@ class PieceCodec:
             and not trainer.treat_whitespace_as_suffix
             and trainer.byte_fallback  # else unknown characters of neighbouring chunks would join
         )
-        self.cache: dict[str, bytes] = {}
+        self.cache = WordCache(self._learn, "<u4", CACHE)
 
     # -- normalisation ---------------------------------------------------
 
@@ -161,22 +163,22 @@ class PieceCodec:
 
     # -- segmentation ----------------------------------------------------
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
+    def ids(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """Ids of each text as the library gives them, without begin and end."""
         if not self.chunked:
+            texts = texts if isinstance(texts, list) else texts.to_pylist()
             return [np.array(i, dtype="<u4") for i in self.processor.encode(texts, num_threads=1)]
-        split = [self._chunks(t) for t in texts]
-        cache = self.cache
-        missing = list({c for chunks in split for c in chunks if c not in cache})
-        if len(cache) + len(missing) > CACHE:
-            cache.clear()
-            missing = list({c for chunks in split for c in chunks})
-        own = cache if len(missing) <= CACHE else {}
-        own[MARK] = np.array([self.processor.piece_to_id(MARK)], dtype="<u4").tobytes()
-        for at in range(0, len(missing), 4096):
-            self._learn([c for c in missing[at : at + 4096] if c != MARK], own)
-        get = own.__getitem__
-        return [np.frombuffer(b"".join(map(get, chunks)), dtype="<u4") for chunks in split]
+        texts = pa.array(texts, pa.string())
+        chunks = pc.split_pattern(texts, " ")
+        # Texts with runs of spaces, spaces at an end or marks, and empty ones, are cut one by one.
+        odd = pc.or_(pc.match_substring(texts, MARK), pc.match_substring(pc.binary_join_element_wise("", texts, "", " "), "  "))
+        if pc.any(odd).as_py():
+            own = pa.array([self._chunks(t) for t in texts.filter(odd).to_pylist()], chunks.type)
+            rows = odd.to_numpy(zero_copy_only=False)
+            order = np.empty(len(rows), np.int64)
+            order[~rows], order[rows] = np.arange((~rows).sum()), (~rows).sum() + np.arange(rows.sum())
+            chunks = pa.concat_arrays([chunks.filter(pc.invert(odd)), own]).take(pa.array(order))
+        return self.cache.encode(chunks)
 
     @staticmethod
     def _chunks(text: str) -> list[str]:
@@ -187,23 +189,32 @@ class PieceCodec:
         chunks = text.split(" ")
         return _runs(chunks) if "" in chunks else chunks
 
-    def _learn(self, chunks: list[str], own: dict[str, bytes]) -> None:
-        """Encode chunks in one call - they stay apart, as each starts with a mark - and cut the ids by length.
+    def _learn(self, chunks: list[str]) -> Learnt:
+        """Ids of chunks, each encoded with a mark in front.
 
-        Runs of spaces at a text's end have no word that would part them from the next chunk: they go by themselves.
+        Many are encoded in one call - they stay apart, as each starts with a mark - and the ids are cut by length.
+        Runs of spaces and the mark at a text's end have no word that would part them from the next chunk: they go by themselves.
         """
-        for blank in [c for c in chunks if not c.strip(" ")]:
-            own[blank] = np.array(self.processor.encode(blank, num_threads=1), dtype="<u4").tobytes()
-        chunks = [c for c in chunks if c.strip(" ")]
-        if not chunks:
-            return
-        ids = np.array(self.processor.encode(" ".join(chunks), num_threads=1), dtype="<u4")
-        sizes = np.array([len(c.encode()) + 2 * c.count(" ") + 3 for c in chunks])
-        cuts = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(sizes)) + 1
-        raw, start = ids.tobytes(), 0
-        for chunk, stop in zip(chunks, (4 * cuts).tolist()):
-            own[chunk] = raw[start:stop]
-            start = stop
+        blank = np.array([c == MARK or not c.strip(" ") for c in chunks])
+        parts, sizes = [np.empty(0, "<u4")], []
+        words = [c for c, b in zip(chunks, blank) if not b] if blank.any() else chunks
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            line = " ".join(part)
+            ids = np.array(self.processor.encode(line, num_threads=1), dtype="<u4")
+            raw = np.frombuffer(line.encode(), np.uint8) == 32
+            if np.count_nonzero(raw) == len(part) - 1:
+                upto = np.append(np.flatnonzero(raw), len(raw)) + 2 * np.arange(1, len(part) + 1) + 1
+            else:  # chunks that start with spaces
+                upto = np.cumsum([len(c.encode()) + 2 * c.count(" ") + 3 for c in part])
+            parts.append(ids)
+            sizes.append(np.diff(np.searchsorted(np.cumsum(self.length[ids]), upto) + 1, prepend=0))
+        coded = cut(np.concatenate(parts), np.cumsum(np.concatenate([np.empty(0, np.int64), *sizes])))
+        if not blank.any():
+            return coded
+        mark = self.processor.piece_to_id(MARK)
+        alone = [[mark] if c == MARK else self.processor.encode(c, num_threads=1) for c, b in zip(chunks, blank) if b]
+        return merged(blank, coded, joined([np.array(i, "<u4") for i in alone], "<u4"))
 
     # -- projection ------------------------------------------------------
 
@@ -261,11 +272,10 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", offsets: b
         own = codec(model)
         bos, eos = np.array([own.bos], "<u4").tobytes(), np.array([own.eos], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in steps(batch, text):
                 columns: list[list[bytes]] = [[] for _ in names]
-                texts = [v or "" for v in part.column(text).to_pylist()]
-                for raw, ids in zip(texts, own.ids(texts)):
+                texts = pc.fill_null(part.column(text), "")
+                for raw, ids in zip(texts.to_pylist() if offsets else texts, own.ids(texts)):
                     columns[0].append(bos + ids.tobytes() + eos)
                     if offsets:
                         starts, ends = own.spans(raw, ids)
