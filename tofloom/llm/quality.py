@@ -35,6 +35,8 @@ FENCE = 3.0
 HALF_FENCE = 2 * FENCE + 1
 #: Sketch size: quantiles are off by 1/ACCURACY of the rows at most.
 ACCURACY = 2000
+#: Hashes that a text has twice or more among which each of its windows is looked up; with more of them all windows are sorted.
+FEW = 32
 #: Groups (some hundred bytes each) whose thresholds may be broadcast.
 BROADCAST_GROUPS = 50_000
 #: measure -> (side of the fence, nearest that the fence may come)
@@ -49,16 +51,14 @@ MEASURES = {
 def repeated_words(words: Column) -> Column:
     """Number of words inside three-word windows that occur twice or more.
 
-    Windows are hashed, sorted with their positions, and neighbours with equal
-    hashes are confirmed word by word.
+    Windows are hashed.  Where no two hashes are equal, that's all; else hashes
+    are sorted with their positions, and neighbours with equal hashes are
+    confirmed word by word.
     """
 
     def of(ws: Column) -> Column:
         n = F.size(ws)
-        starts = F.sequence(F.lit(0), n - 3)
-        keyed = F.array_sort(
-            F.transform(starts, lambda i: F.struct(F.xxhash64(ws[i], ws[i + 1], ws[i + 2]).alias("h"), i.alias("i")))
-        )
+        hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(ws[i], ws[i + 1], ws[i + 2]))
 
         def same(a: Column, b: Column) -> Column:
             i, j = a["i"], b["i"]
@@ -73,10 +73,16 @@ def repeated_words(words: Column) -> Column:
             )
             return F.transform(again, lambda k: ks[k]["i"])
 
-        covered = F.array_distinct(
-            F.flatten(F.transform(let(keyed, positions), lambda p: F.array(p, p + 1, p + 2)))
-        )
-        return F.when(n < 4, F.lit(0)).otherwise(F.size(covered))
+        def covered(hs: Column) -> Column:
+            twice = let(F.sort_array(hs), lambda s: F.array_distinct(F.filter(s, lambda h, k: (k > 0) & (h == s[F.greatest(k - 1, F.lit(0))]))))
+            keyed = F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+            keyed = let(twice, lambda few: F.filter(keyed, lambda x: (F.size(few) > FEW) | F.array_contains(few, x["h"])))
+            # By the order of values, not array_sort's, which is a lambda function.
+            windows = F.transform(let(F.sort_array(keyed), positions), lambda p: F.array(p, p + 1, p + 2))
+            return F.size(F.array_distinct(F.flatten(windows)))
+
+        repeats = let(hashes, lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0)).otherwise(covered(hs)))
+        return F.when(n < 4, F.lit(0)).otherwise(repeats)
 
     return let(words, of)
 
