@@ -251,10 +251,12 @@ def island_stats(islands: DataFrame, keys: tuple[str, ...] = ("file",), time: st
     )
 
 
-def dbscan_xy(x: np.ndarray, y: np.ndarray, eps: float, min_points: int) -> np.ndarray:
-    """Textbook DBSCAN in the plane: a point counts itself; border points join the first cluster that reaches them; noise is -1.
+def dbscan_places(x: np.ndarray, y: np.ndarray, weight: np.ndarray, eps: float, min_points: int) -> np.ndarray:
+    """Textbook DBSCAN of different places in the plane that hold ``weight`` points each, in the order of their first points.
 
-    Neighbours are looked up in a grid of cells of side ``eps``.
+    A point counts itself; border points join the first cluster that reaches them; noise is -1.
+    Points of one place have the same neighbours, so a label per place is a label per point,
+    and neighbours are looked up once or twice a place, in a grid of cells of side ``eps``.
     """
     n = len(x)
     labels = np.full(n, -1, dtype=np.int64)
@@ -269,49 +271,53 @@ def dbscan_xy(x: np.ndarray, y: np.ndarray, eps: float, min_points: int) -> np.n
         near = np.concatenate(near)
         return near[(x[near] - x[i]) ** 2 + (y[near] - y[i]) ** 2 <= eps * eps]
 
-    seen = np.zeros(n, dtype=bool)
+    core = np.fromiter((weight[neighbours(i)].sum() >= min_points for i in range(n)), dtype=bool, count=n)
     current = 0
-    for i in range(n):
-        if seen[i]:
-            continue
-        seen[i] = True
-        near = neighbours(i)
-        if len(near) < min_points:
+    for i in np.flatnonzero(core).tolist():
+        if labels[i] != -1:
             continue
         labels[i] = current
-        queue = list(near)
+        queue = [i]  # holds a place once at most
         while queue:
-            j = int(queue.pop())
-            if labels[j] == -1:
-                labels[j] = current
-            if seen[j]:
-                continue
-            seen[j] = True
-            more = neighbours(j)
-            if len(more) >= min_points:
-                queue.extend(k for k in more.tolist() if not seen[k] or labels[k] == -1)
+            near = neighbours(queue.pop())
+            fresh = near[labels[near] == -1]
+            labels[fresh] = current
+            queue.extend(fresh[core[fresh]].tolist())
         current += 1
     return labels
 
 
+def dbscan_xy(x: np.ndarray, y: np.ndarray, eps: float, min_points: int) -> np.ndarray:
+    """:func:`dbscan_places` of points, a label per point."""
+    _, first, place, weight = np.unique(np.stack([x, y]), axis=1, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(first)
+    labels = np.empty(len(first), dtype=np.int64)
+    labels[order] = dbscan_places(x[first[order]], y[first[order]], weight[order], eps, min_points)
+    return labels[place.reshape(-1)]
+
+
 def dbscan(
     hits: DataFrame, eps_time: float, min_points_time: int, eps_xy: float, min_points_xy: int,
     keys: tuple[str, ...] = ("file",), order: tuple[str, ...] = ("batch_offset", "seq"),
 ) -> DataFrame:
-    """Hits with ``label``: -1 for noise, else numbered by island and first member, per key."""
+    """Hits with ``label``: -1 for noise, else numbered by island and first member, per key.
+
+    Python sees each place of an island once, however many hits it has: a task
+    holds as many rows as the canvas has pixels, at most.
+    """
     rows = time_islands(hits, eps_time, min_points_time, keys)
-    schema = StructType([*hits.schema.fields, rows.schema["island"]]).add("local", IntegerType())
-    members = rows.where("island IS NOT NULL").select(*hits.columns, "island")
     by = [*keys, "island"]
-    members = members.repartition(*by).sortWithinPartitions(*by, *order)
+    places = rows.where("island IS NOT NULL").groupBy(*by, "x", "y").agg(F.count("*").alias("__n"), F.min(F.struct(*order)).alias("__first"))
+    places = places.repartition(*by).sortWithinPartitions(*by, "__first").select(*by, "x", "y", "__n")
+    schema = StructType([*places.schema.fields]).add("local", IntegerType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
 
         def label(table: pa.Table, key: np.ndarray) -> Iterator[pa.RecordBatch]:
-            x, y = table["x"].to_numpy().astype(float), table["y"].to_numpy().astype(float)
+            x, y, n = table["x"].to_numpy().astype(float), table["y"].to_numpy().astype(float), table["__n"].to_numpy()
             cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            found = np.concatenate([dbscan_xy(x[a:b], y[a:b], eps_xy, min_points_xy) for a, b in zip(cuts, cuts[1:])])
+            found = np.concatenate([dbscan_places(x[a:b], y[a:b], n[a:b], eps_xy, min_points_xy) for a, b in zip(cuts, cuts[1:])])
             yield from table.append_column("local", pa.array(found, pa.int32())).combine_chunks().to_batches()
 
         for batch in batches:
@@ -327,15 +333,14 @@ def dbscan(
             table = pa.Table.from_batches(rest)
             yield from label(table, _runs([table[k].combine_chunks() for k in by]))
 
-    found = members.mapInArrow(run, schema)
+    found = places.mapInArrow(run, schema)
     upto = Window.partitionBy(*keys).orderBy("island").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = found.groupBy(*keys, "island").agg((F.max("local") + 1).alias("__n"))
-    sizes = sizes.withColumn("__base", F.coalesce(F.sum("__n").over(upto), F.lit(0))).drop("__n")
-    found = found.join(sizes, [*keys, "island"])
-    label = F.when(F.col("local") < 0, -1).otherwise(F.col("__base") + F.col("local")).cast("int")
-    names = hits.columns
-    noise = rows.where("island IS NULL").select(*names, F.lit(-1).alias("label"))
-    return found.select(*names, label.alias("label")).unionByName(noise)
+    sizes = found.groupBy(*by).agg((F.max("local") + 1).alias("__size"))
+    sizes = sizes.withColumn("__base", F.coalesce(F.sum("__size").over(upto), F.lit(0))).drop("__size")
+    found = found.where("local >= 0").join(sizes, by)
+    found = found.select(*by, "x", "y", (F.col("__base") + F.col("local")).cast("int").alias("__label"))
+    rows = rows.join(found, [*by, "x", "y"], "left")
+    return rows.select(*hits.columns, F.coalesce("__label", F.lit(-1)).alias("label"))
 
 
 def dbscan_events(labelled: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
