@@ -46,3 +46,14 @@ def test_dbscan_memory_of_a_dense_island():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert set(labels.tolist()) == {0} and peak < 4_000_000
+
+
+def test_island_windows_see_times_once(spark):
+    hits = frame(spark, [(0, 0, 0, t % 7 + 100 * (t % 3), 1, 1) for t in range(3000)])
+    plan = C.time_islands(hits, 300, 3)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [k for k, line in enumerate(plan.splitlines()) if "Window [" in line]
+    sums = [k for k, line in enumerate(plan.splitlines()) if "Aggregate [" in line]
+    assert windows and sums and max(windows) < min(sums)
+    rows = C.time_islands(hits, 300, 3)
+    assert rows.count() == 3000 and rows.schema["island"].dataType.simpleString() == "int"
+    assert {(r.toa // 100, r.island) for r in rows.collect()} == {(0, 0), (1, 1), (2, 2)}

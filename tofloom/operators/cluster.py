@@ -230,17 +230,24 @@ def numbered_batches(hits: DataFrame, size: int = 10_000, keys: tuple[str, ...]
 def time_islands(
     hits: DataFrame, eps: float, min_points: int, keys: tuple[str, ...] = ("file",), time: str = "toa", ns: float = 25.0
 ) -> DataFrame:
-    """Hits with ``island`` (from 0 by time, per key) where gaps are at most ``eps`` ns and members enough; else null."""
+    """Hits with ``island`` (from 0 by time, per key) where gaps are at most ``eps`` ns and members enough; else null.
+
+    Hits of one time share an island, so the windows see each time of a key once:
+    16,384 rows a key at most for ``toa``.  A time with more bits has more of them.
+    """
+    by = [*keys, time]
+    rows = hits.groupBy(*by).agg(F.count("*").alias("__n"))
     t = F.col(time).cast("double") * ns
     w = Window.partitionBy(*keys).orderBy(time)
     gap = t - F.lag(t).over(w)
-    rows = hits.withColumn("__new", F.when(gap.isNull() | (gap > eps), 1).otherwise(0))
-    rows = rows.withColumn("__island", F.sum("__new").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    rows = rows.withColumn("__size", F.count("*").over(Window.partitionBy(*keys, "__island")))
-    large = F.col("__size") >= min_points
-    rows = rows.withColumn("__large", large)
+    rows = rows.withColumn("__new", F.when(gap.isNull() | (gap > eps), 1).otherwise(0))
+    rows = rows.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.withColumn("__size", F.sum("__n").over(Window.partitionBy(*keys, "__island")))
+    rows = rows.withColumn("__large", F.col("__size") >= min_points)
     rank = F.dense_rank().over(Window.partitionBy(*keys, "__large").orderBy("__island")) - 1
-    return rows.withColumn("island", F.when(F.col("__large"), rank)).drop("__new", "__island", "__size", "__large")
+    rows = rows.withColumn("island", rank).where("__large").select(*(F.col(k).alias(f"__{k}") for k in by), "island")
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by]
+    return hits.join(rows, same, "left").select(*hits.columns, "island")
 
 
 def island_stats(islands: DataFrame, keys: tuple[str, ...] = ("file",), time: str = "toa", ns: float = 25.0) -> DataFrame:
