@@ -9,6 +9,7 @@ from test_hits import packets
 
 from tofloom.functions import packets as P
 from tofloom.functions import timing as T
+from tofloom.operators.gdc import gdc_records
 
 
 def words(seed, n=300):
@@ -62,3 +63,20 @@ def test_files_order_splits_only(spark):
     df = packets(spark, words(5), 7)
     for rows in (T.timing_states(df), T.with_time(df, "gdc").where(P.is_pixel(F.col("word"))), T.batch_starts(df)):
         assert set(by_file(rows)) == {"split"}
+
+
+def test_gdc_records_by_split(spark):
+    header = lambda chip: int.from_bytes(P.pack_header(chip, 1), "little")
+    rows = [(0, header(k % 3)) if k % 11 == 5 else row for k, row in enumerate(words(8))]
+    whole, cut = (gdc_records(packets(spark, rows, split)) for split in (10**9, 3))
+    chip, lsb, value, want = -1, 0, 0, []
+    for k, (_, w) in enumerate(rows):
+        if w & 0xFFFFFFFF == P.HEADER_FULL:
+            chip = w >> 32 & 0xFF
+        elif w >> 56 == 0x44:
+            lsb = w >> 16 & 0xFFFFFFFF
+        elif w >> 56 == 0x45:
+            value = (w >> 16 & 0xFFFF) << 32 | lsb or value
+            want += [("f", chip, value, 8 * k, value * 25)] if value and chip >= 0 else []
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect())) == sorted(want)
+    assert set(by_file(cut)) == {"split"}
